@@ -11,6 +11,8 @@ from .decontamination import leaks
 from .exact_dedup import exact_groups
 from .simhash import simhash_groups
 from .substring_dedup import repeats
+from .toxicity import fit as fit_toxicity
+from .toxicity import scored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +30,17 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def held_out(column: str, folds: int, fold: int):
+    return F.crc32(F.col(column).cast("string").cast("binary")) % folds == fold
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    found = scored(docs, fit_toxicity(docs, labels))
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +50,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": op2_toxicity,
     "op4_decontamination": op4_decontamination,
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
