@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .decontamination import leaks
 from .exact_dedup import exact_groups
+from .language_id import fit as fit_languages
+from .language_id import predicted
 from .simhash import simhash_groups
 from .substring_dedup import repeats
 from .toxicity import fit as fit_toxicity
@@ -49,12 +51,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(~held_out("doc_id", 4, 2)))
+    return predicted(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op4_decontamination": op4_decontamination,
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
