@@ -12,6 +12,7 @@ from .decontamination import leaks
 from .exact_dedup import exact_groups
 from .language_id import fit as fit_languages
 from .language_id import predicted
+from .license_scan import license_matches
 from .simhash import simhash_groups
 from .substring_dedup import repeats
 from .toxicity import fit as fit_toxicity
@@ -45,6 +46,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -67,6 +72,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
+    "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
     "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
