@@ -13,6 +13,8 @@ from .exact_dedup import exact_groups
 from .language_id import fit as fit_languages
 from .language_id import predicted
 from .license_scan import license_matches
+from .mixing import mixed
+from .mixing import oracle as mixing_oracle
 from .simhash import simhash_groups
 from .substring_dedup import repeats
 from .toxicity import fit as fit_toxicity
@@ -54,6 +56,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(_table(spark, sf_dir, "pages"), path)
@@ -74,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
+    "op5_mixing": op5_mixing,
     "op6_warc": op6_warc,
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
@@ -82,6 +89,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": mixing_oracle(),
     "op9_exact_dedup": r"""
         with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
              g as (select t, min(doc_id) as keep_id, count(*) as group_size from n group by t)
