@@ -13,6 +13,7 @@ from .exact_dedup import exact_groups
 from .language_id import fit as fit_languages
 from .language_id import predicted
 from .license_scan import license_matches
+from .line_dedup import line_summary
 from .mixing import mixed
 from .mixing import oracle as mixing_oracle
 from .simhash import simhash_groups
@@ -41,6 +42,10 @@ def held_out(column: str, folds: int, fold: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % folds == fold
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_summary(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
@@ -77,6 +82,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
