@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from . import log_queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "log_queries"]
