@@ -139,7 +139,7 @@ def _rows(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
 
 
 def reachable(links: DataFrame) -> DataFrame:
-    """(file, offset) of the links (file, offset, next) on the chain from each file's offset 0."""
+    """(file, offset) on the chain of links (file, offset, next) from each file's offset 0, the end of the chain included."""
     longest = links.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     state = links.select("file", "offset", F.col("next").alias("jump"), (F.col("offset") == 0).alias("on"))
     for _ in range(math.ceil(math.log2(longest + 1))):
