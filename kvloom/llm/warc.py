@@ -48,7 +48,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
     largest = rows.groupBy("sha", "n").agg(F.max("id").alias("top"))
-    rows = rows.join(largest, ["sha", "n"])
+    rows = rows.join(largest.hint("merge"), ["sha", "n"])
     revisit = (F.col("n") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("top"))
     name = lambda c: F.concat(F.lit("<urn:kvloom:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
@@ -131,7 +131,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     yield _rows(rows, kinds, names)
 
     found = materialize(files.mapInArrow(run, _SCHEMA), "warc-candidates")
-    return found.join(reachable(found.select("file", "offset", "next")), ["file", "offset"], "left_semi")
+    return found.join(reachable(found.select("file", "offset", "next")).hint("merge"), ["file", "offset"], "left_semi")
 
 
 def _rows(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
@@ -144,7 +144,8 @@ def reachable(links: DataFrame) -> DataFrame:
     state = links.select("file", "offset", F.col("next").alias("jump"), (F.col("offset") == 0).alias("on"))
     for _ in range(math.ceil(math.log2(longest + 1))):
         ahead = state.select("file", F.col("offset").alias("jump"), F.col("jump").alias("beyond"))
-        doubled = state.join(ahead, ["file", "jump"], "left").select("file", "offset", F.col("beyond").alias("jump"), "on")
+        # compressed sizes of paths and offsets mislead the choice of joins, so that nothing is broadcast here
+        doubled = state.join(ahead.hint("merge"), ["file", "jump"], "left").select("file", "offset", F.col("beyond").alias("jump"), "on")
         reached = state.where("on and jump is not null").select("file", F.col("jump").alias("offset"), F.lit(None).cast("long").alias("jump"), F.lit(True).alias("on"))
         state = doubled.unionByName(reached).groupBy("file", "offset").agg(F.max("jump").alias("jump"), F.max("on").alias("on"))
         state = materialize(state, "warc-chain")
