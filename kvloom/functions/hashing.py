@@ -33,14 +33,18 @@ def fnv1a64(key: Column) -> Column:
     return F.when(key.isNotNull(), F.aggregate(at, start, step))
 
 
-def shard_index(key: Column, shards: Column | int) -> Column:
-    """Unsigned hash modulo shards; -1 where shards is not positive."""
+def place(h: Column, shards: Column | int) -> Column:
+    """Unsigned hash (hi, lo) modulo shards; -1 where shards is not positive."""
     n = (F.lit(shards) if isinstance(shards, int) else shards).cast("long")
-    h = fnv1a64(key)
     rest = F.pmod(F.pmod(h["hi"], n) * F.pmod(F.lit(1 << 32).cast("long"), n) + F.pmod(h["lo"], n), n)
     return F.when(n <= 0, F.lit(-1)).otherwise(rest).cast("int")
 
 
+def shard_index(key: Column, shards: Column | int) -> Column:
+    """The shard of a key. Where one key meets many tables, hash it once and place the hash."""
+    return place(fnv1a64(key), shards)
+
+
 def crc(data: Column) -> Column:
     """CRC-32 as a long."""
     return F.crc32(data.cast("binary"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kvloom.functions.hashing import shard_index
+from kvloom.functions.hashing import fnv1a64, place
 from kvloom.operators import catalog, control, metrics, workload
 from kvloom.plans.registry import query
 from kvloom.sources import wal
@@ -245,8 +245,9 @@ def _fnv(column: str) -> str:
     select h.table_id, h.k, h.shard_index, case when h.shard_count is null then 'TABLE_NOT_FOUND' when rl.node_id is null then 'ROUTE_NOT_FOUND' else 'OK' end as status, rl.node_id
     from h left join rl on rl.table_id = h.table_id and rl.shard_index = h.shard_index""")
 def route_for_key(t: Inputs):
+    hashed = t.op_log.select("k").distinct().select("k", fnv1a64(F.col("k")).alias("h"))
     keys = t.op_log.select((F.col("idx") % 300).alias("table_id"), "k").distinct().join(t.catalog_tables.select("table_id", "shard_count"), "table_id", "left")
-    placed = keys.select("table_id", "k", F.coalesce(shard_index(F.col("k"), F.col("shard_count")), F.lit(-1)).alias("shard_index"))
+    placed = keys.join(hashed, "k").select("table_id", "k", F.coalesce(place(F.col("h"), F.col("shard_count")), F.lit(-1)).alias("shard_index"))
     return control.route_keys(placed, t.catalog_tables, control.route_leaders(t.replicas, t.nodes))
 
 
