@@ -30,15 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths made in this session, oldest first.
+made: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder, removed when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    made.append(path)
     return path
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove paths that nothing will read any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        if path in made:
+            made.remove(path)
+
+
 def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
@@ -47,8 +61,6 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    if partition_by:
-        return spark.read.schema(df.schema).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
