@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Documents that share a bucket of the numbering, on average, at most.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1500
 
 #: One period: state (how many blocks each source has, the sources in slot order), one step a slot.
 _PERIOD = """
@@ -92,9 +92,11 @@ def mixed(
     if sources is None:
         return docs.select("*", *[F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_place")])
     total = docs.count()
-    digits = max(0, math.ceil(math.log(max(1, total / BUCKET_ROWS), 16)))
+    bits = math.ceil(math.log2(max(1, total / BUCKET_ROWS)))
     order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), _source(source_col).alias("src"), order.alias("h"), F.col(id_col).alias("id")).withColumn("bucket", F.substring("h", 1, digits))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), _source(source_col).alias("src"), order.alias("h"), F.col(id_col).alias("id"))
+    # the first bits of 60 of the hash, so that buckets are in its order
+    keyed = keyed.withColumn("bucket", F.shiftrightunsigned(F.conv(F.substring("h", 1, 15), 16, 10).cast("long"), 60 - bits))
     counts = keyed.groupBy("src", "bucket").agg(F.count("*").alias("n_bucket"))
     before = F.sum("n_bucket").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("src", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
