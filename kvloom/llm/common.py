@@ -64,6 +64,18 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Arrow batches of at most so many rows from now on: with whole texts, the default of 10,000 takes much memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = (spark.conf.get(key, None) or "").rstrip("bB")
+    if held.lstrip("-").isdigit() and not 0 < int(held) <= 16 << 20:
+        spark.conf.set(key, str(16 << 20))
+
+
 def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary Arrow array; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 _PLAIN = np.arange(1 << 16, dtype=np.uint32)
 for _c in range(1 << 16):
     _s = chr(_c)
@@ -198,6 +200,7 @@ def leaks(
 ) -> DataFrame:
     """One row per document and passage that occurs in it: id, item, edits, start, end (characters of the text)."""
     spark = docs.sparkSession
+    small_batches(spark)
     schema = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType),
         T.StructField("edits", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
@@ -224,6 +227,7 @@ def leaks(
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = 8, rate: float = 0.1, min_chars: int = 24, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of docs in which no passage occurs, with all their columns."""
+    small_batches(docs.sparkSession)
     for block in _passage_blocks(benchmark, item_col, item_text_col, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(Passages(block, q, rate, min_chars))
 

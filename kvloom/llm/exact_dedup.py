@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_parts, materialize
+from .common import binary_parts, materialize, small_batches
 
 _SPACES = b" \t\n\x0b\x0c\r"
 
@@ -129,6 +129,7 @@ def _stored(f) -> Iterator[tuple]:
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, memory_bytes: int, keep_row: bool) -> tuple[DataFrame, DataFrame]:
     """(documents with the entry each was folded into, entries with their group's result)."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("content"),

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches
 
 DIMS = 1 << 13
 UNKNOWN = "und"
@@ -154,6 +154,7 @@ def _dense(blob: bytes) -> np.ndarray:
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score (cosine to the nearest centroid) and rejected."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

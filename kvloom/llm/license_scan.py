@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_parts, mix64, row_chunks, span_hashes, word_spans
+from .common import binary_parts, mix64, row_chunks, small_batches, span_hashes, word_spans
 
 #: Notices that name a license, and one short license whole.
 TEMPLATES = {
@@ -158,6 +158,7 @@ def _bigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row per match: id, license, dice, first_word, end_word."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Scanner(templates or TEMPLATES, threshold))
     text = F.translate(F.col(text_col).cast("string"), _MARKS, " " * len(_MARKS)).cast("binary")
 

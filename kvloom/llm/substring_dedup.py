@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, binary_parts, materialize, mix64, new_path, row_chunks, span_hashes, word_spans
+from .common import CHUNK_BYTES, binary_parts, materialize, mix64, new_path, row_chunks, small_batches, span_hashes, word_spans
 
 ANCHOR = 5
 NO_ID = np.iinfo(np.int64).max
@@ -178,6 +178,7 @@ def _subtree(words: np.ndarray, starts: np.ndarray, chosen: np.ndarray, out: np.
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, buckets: int) -> DataFrame:
     """block, ids, ends, body: documents in blocks, bucketed by block."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t"))
 
     def run(batches):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small_batches
 
 INSULTS = "idiot moron stupid loser clown scum trash pathetic worthless disgusting imbecile vermin".split()
 THREATS = "kill hurt destroy beat burn shoot stab strangle punch crush".split()
@@ -278,6 +278,7 @@ def _choose(terms: list[str], odds: np.ndarray, toxic_rows: list[np.ndarray], ma
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with one more column, the score from 0 to 1."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((Scorer(model.terms), model))
 
