@@ -95,3 +95,42 @@ def test_near_dedup_keeps_one_of_each_group(make_docs, chunk):
     rows = near_copies(random.Random(6), 20, 5, words=300, edits=3) + [(1000 + i, t) for i, t in enumerate(["", "a", "a b c", "a b d", "a b c d e f", "a b c d e g"])]
     kept = {r.doc_id for r in sh.near_dedup(make_docs(rows).repartition(3), chunk=chunk).collect()}
     assert kept == {i for i in range(100) if i % 5 == 0} | set(range(1000, 1006))
+
+
+def similarity(a, b, size=5):
+    sets = [{tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("chunk", [8192, 3])
+def test_near_dedup_is_exact_at_every_length(make_docs, chunk):
+    """One word appended to 8 to 20 words, and words changed in longer texts, on either side of 0.8."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    pairs = []
+    for n in [*range(8, 21), 24, 29, 60, 150, 400]:
+        for _ in range(6):
+            base = [word() for _ in range(n)]
+            pairs.append((" ".join(base), " ".join([*base, word()])))
+            cut = base[:]
+            for _ in range(max(1, n // 45)):
+                cut[rng.randrange(n)] = word()
+            pairs.append((" ".join(base + base[:3]), " ".join(cut)))
+    pairs.append((" ".join(f"a{i}" for i in range(16)), " ".join(f"a{i}" for i in range(19))))  # 12 of 15: 0.8 itself
+    rows = [(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    kept = {r.doc_id for r in sh.near_dedup(make_docs(rows).repartition(3), chunk=chunk).collect()}
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    texts = dict(rows)
+    for a in texts:
+        for b in range(a + 1, min(len(rows), a + 13)):
+            if 5 * round(similarity(texts[a], texts[b]) * 1e9) >= 4e9:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert kept == {i for i in parent if find(i) == i}
+    assert 0 < sum(find(i) != i for i in parent) < len(pairs)
