@@ -4,16 +4,19 @@ A passage of n characters that occurs with at most k = floor(rate * n) edits sha
 q-grams with the place where it occurs, on diagonals no more than k apart. Shared q-grams are counted in overlapping bands
 of diagonals; bands that reach the bound are verified by alignment within the band.
 
+Where the bound would be below 1, the passage is searched with the largest q that keeps it at 1 or more.
+
 Texts are compared as letters and digits in lower case, every other run being one space. Null texts and passages match
-nothing, nor do passages whose bound is below 1 or which have fewer than min_chars such characters: those are too short
-to tell. Equal passages are found each for itself; of several places, the one with the fewest edits counts, then the
-first. Empty tables give no rows; extra columns are never looked at.
+nothing, nor do passages without such characters. Passages of fewer than min_chars such characters are found without edits
+only, and as whole words where the script parts words by spaces. Equal passages are found each for itself; of several
+places, the one with the fewest edits counts, then the first. Empty tables give no rows; extra columns are never looked at.
 
 Passages are broadcast in blocks of at most block_chars characters; documents are scanned once for each block.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
 
@@ -107,19 +110,15 @@ def align(passage: np.ndarray, region: np.ndarray, first: int, width: int, budge
     return int(cost[k]), int(origin[k]), first + m + k
 
 
-class Passages:
-    """The q-grams of a block of passages."""
+class Grams:
+    """The q-grams of passages: (number, characters, edits allowed)."""
 
-    def __init__(self, items: list[tuple], q: int, rate: float, min_chars: int) -> None:
+    def __init__(self, passages: list[tuple[int, np.ndarray, int]], q: int) -> None:
         self.q = q
         self.ids, self.codes, self.budget, self.least = [], [], [], []
         hashes, owner, place = [], [], []
-        for item_id, text in items:
-            codes, _ = plain(text)
-            k = int(rate * len(codes))
+        for item_id, codes, k in passages:
             bound = len(codes) - q + 1 - k * q
-            if len(codes) < min_chars or bound < 1:
-                continue
             g = grams(codes, q)
             hashes.append(g)
             owner.append(np.full(len(g), len(self.ids)))
@@ -139,11 +138,8 @@ class Passages:
             self.seen = np.zeros(1 << _BITS, dtype=bool)
             self.seen[(self.hashes & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
 
-    def find(self, text: str) -> Iterator[tuple]:
-        """(item, edits, start, end) of each passage that occurs; start and end count the text's characters."""
-        if not self.ids or not text:
-            return
-        codes, at = plain(text)
+    def find(self, codes: np.ndarray) -> Iterator[tuple]:
+        """(number, edits, start, end) of each passage that occurs in the characters."""
         g = grams(codes, self.q)
         maybe = np.flatnonzero(self.seen[(g & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
         if len(maybe) == 0:
@@ -178,8 +174,62 @@ class Passages:
             found = align(passage, codes[lo:hi], first - lo, 2 * self.band + 2 * budget, budget)
             if found and (i not in best or (found[0], lo + found[1]) < best[i][:2]):
                 best[i] = (found[0], lo + found[1], lo + found[2])
-        for i, (edits, start, end) in sorted(best.items()):
-            yield self.ids[i], edits, int(at[start]), int(at[max(start, end - 1)]) + 1
+        for i, place in best.items():
+            yield self.ids[i], *place
+
+
+class Short:
+    """Passages of one length that are found without edits: (number, characters)."""
+
+    def __init__(self, passages: list[tuple[int, np.ndarray]]) -> None:
+        self.n = len(passages[0][1])
+        h = np.array([grams(codes, self.n)[0] for _, codes in passages], dtype=np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.hashes = h[order]
+        self.passages = [passages[i] for i in order.tolist()]
+
+    def find(self, codes: np.ndarray) -> Iterator[tuple]:
+        g = grams(codes, self.n)
+        low, high = np.searchsorted(self.hashes, g, side="left"), np.searchsorted(self.hashes, g, side="right")
+        seen = set()
+        for start in np.flatnonzero(high > low).tolist():
+            end = start + self.n
+            if _inside_word(codes, start) or _inside_word(codes, end):
+                continue
+            for k in range(int(low[start]), int(high[start])):
+                number, passage = self.passages[k]
+                if number not in seen and np.array_equal(codes[start:end], passage):
+                    seen.add(number)
+                    yield number, 0, start, end
+
+
+def _inside_word(codes: np.ndarray, at: int) -> bool:
+    """Whether the place before codes[at] is within a word; scripts from Thai on need no spaces between words."""
+    return 0 < at < len(codes) and all(c != 32 and c < 0x0E00 for c in codes[at - 1 : at + 1].tolist())
+
+
+class Passages:
+    """A block of passages: those of min_chars or more by q-grams, with q as large as the bound allows, shorter ones as they are."""
+
+    def __init__(self, items: list[tuple], q: int, rate: float, min_chars: int) -> None:
+        self.ids = [item_id for item_id, _ in items]
+        long, short = defaultdict(list), defaultdict(list)
+        for number, (_, text) in enumerate(items):
+            codes, _ = plain(text)
+            k = int(rate * len(codes))
+            if len(codes) >= min_chars and len(codes) > k:
+                long[min(q, len(codes) // (k + 1))].append((number, codes, k))  # n - q + 1 - k q is 1 or more up to this q
+            elif len(codes):
+                short[len(codes)].append((number, codes))
+        self.parts = [Grams(x, own) for own, x in sorted(long.items())] + [Short(x) for _, x in sorted(short.items())]
+
+    def find(self, text: str) -> Iterator[tuple]:
+        """(item, edits, start, end) of each passage that occurs; start and end count the text's characters."""
+        if not self.parts or not text:
+            return
+        codes, at = plain(text)
+        for number, edits, start, end in sorted(x for part in self.parts for x in part.find(codes)):
+            yield self.ids[number], edits, int(at[start]), int(at[max(start, end - 1)]) + 1
 
 
 def _passage_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple]]:

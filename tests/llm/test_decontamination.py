@@ -66,3 +66,29 @@ def test_leaks_nulls_ties_blocks_and_empty(spark, make_docs):
         assert sorted(r.doc_id for r in dc.without_leaks(docs, items, block_chars=block).collect()) == [0, 1, 4]
     assert dc.leaks(docs, items.limit(0)).count() == 0 and dc.without_leaks(docs, items.limit(0)).count() == 7
     assert dc.leaks(docs.limit(0), items).count() == 0
+
+
+def test_passages_of_every_length_are_found():
+    """Verbatim from one character on; with all edits allowed from 24 on, 30 and 31 among them."""
+    rng = random.Random(5)
+    for n in range(1, 60):
+        passage = "".join(rng.choice("abcdeiorst") for _ in range(n))
+        whole = f"{text(rng, 20)} {passage} {text(rng, 20)}"
+        assert [x[:2] for x in dc.Passages([(7, passage)], 8, 0.1, 24).find(whole)] == [(7, 0)], n
+    for n in (24, 29, 30, 31, 32, 39):
+        passage = "".join(rng.choice("abcdeiorst") for _ in range(n))
+        k = int(0.1 * n)
+        s = list(passage)
+        for i in range(k):
+            s[(i + 1) * n // (k + 1)] = "z"
+        whole = f"{text(rng, 20)} {''.join(s)} {text(rng, 20)}"
+        assert [x[:2] for x in dc.Passages([(7, passage)], 8, 0.1, 24).find(whole)] == [(7, k)], n
+
+
+def test_short_passages_are_whole_words():
+    items = [(1, "cat"), (2, "Is it?"), (3, "北京大学"), (4, "--"), (5, "cat"), (6, "12")]
+    found = lambda t: [x[0] for x in dc.Passages(items, 8, 0.1, 24).find(t)]
+    assert found("concatenate; is, IT") == [2]
+    assert found("A cat. 1912") == [1, 5]
+    assert found("我在北京大学读书 12") == [3, 6]
+    assert found("") == [] and found("--") == []
