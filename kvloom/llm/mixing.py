@@ -8,22 +8,34 @@ Every block so stands between its release and its deadline: within a period, and
 is never a whole block ahead of or behind its share. The pattern repeats, so only one period is worked out for each set
 of sources that take part; a source ends with a period, and the rest go on in proportion to their tickets.
 
+Tickets round the weights. Where that would move a source by a block or more in all, there are no tickets: blocks of
+block_docs documents have their releases and deadlines from the weights themselves, over the whole mix. If every source
+that has documents left were served at all times in proportion to its weight, block j would be under way from one time to
+another: those are its release, rounded down, and its deadline, rounded up. Earliest deadlines first again keep every
+source within a block of that course. This is worked out on the driver, with a heap, from the sizes of the sources alone.
+
 No document is dropped: the result has every row, its block, the slot of the block and its place in the block. Rows of a
 source are ordered by the MD5 of their id. Null sources form a source of their own, first by name; null ids are allowed,
 and repeated rows are numbered apart. Extra columns stay. Weights that are null, not positive or missing count as the
-smallest that a ticket stands for. An empty table gives an empty result.
+smallest that a ticket stands for; without tickets, they share that one ticket's weight. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Documents that share a bucket of the numbering, on average, at most.
 BUCKET_ROWS = 1500
 
+#: Slots that are sent to all executors; more are joined by a shuffle.
+BROADCAST_SLOTS = 1_000_000
+
 #: One period: state (how many blocks each source has, the sources in slot order), one step a slot.
 _PERIOD = """
     aggregate(
@@ -54,7 +66,7 @@ def _tickets(docs: DataFrame, source_col: str, targets: DataFrame | None, alpha:
     if number > max_sources:
         raise ValueError(f"{number} sources; at most {max_sources} can be mixed, as their tickets are worked out together")
     tickets = F.greatest(F.lit(1), F.round(F.col("w") * resolution / F.lit(float(total) or 1.0))).cast("long")
-    return weighed.select("src", "n", tickets.alias("tickets")).withColumn("periods", F.expr(f"(n + tickets * {block_docs} - 1) div (tickets * {block_docs})"))
+    return weighed.select("src", "n", "w", tickets.alias("tickets")).withColumn("periods", F.expr(f"(n + tickets * {block_docs} - 1) div (tickets * {block_docs})"))
 
 
 def _source(name: str):
@@ -81,6 +93,45 @@ def _slots(sources: DataFrame) -> DataFrame:
     )
 
 
+def _off(w: np.ndarray, tickets: np.ndarray, periods: np.ndarray) -> float:
+    """Blocks by which tickets lead a source away from its weight, at most, in all."""
+    off, low = np.zeros(len(w)), 0
+    for high in np.unique(periods).tolist():
+        part = periods >= high
+        size = tickets[part].sum()
+        off[part] += np.abs(tickets[part] / size - w[part] / w[part].sum()) * size * (high - low)
+        low = high
+    return float(off.max())
+
+
+def _exact(w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(source, block of it) of each slot."""
+    ends = np.sort(blocks / w)
+    order = np.argsort(blocks / w, kind="stable")
+    over = np.append(0, np.cumsum(blocks[order]))
+    rest = np.append(np.cumsum(w[order][::-1])[::-1], 0.0)
+    source = np.repeat(np.arange(len(w)), blocks)
+    number = np.arange(len(source)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+
+    def course(v):  # slots gone when each source has had v times its weight, or all it has
+        k = np.searchsorted(ends, v, side="left")
+        return over[k] + v * rest[k]
+
+    release = np.floor(course(number / w[source]) + 1e-6).astype(np.int64)
+    deadline = np.ceil(course((number + 1) / w[source]) - 1e-6).astype(np.int64).tolist()
+    queue = np.argsort(release, kind="stable")
+    waiting, at = release[queue].tolist(), 0
+    queue = queue.tolist()
+    heap: list[tuple[int, int]] = []
+    out = np.empty(len(source), np.int64)
+    for t in range(len(out)):
+        while at < len(queue) and (waiting[at] <= t or not heap):
+            heapq.heappush(heap, (deadline[queue[at]], queue[at]))
+            at += 1
+        out[t] = heapq.heappop(heap)[1]
+    return source[out], number[out]
+
+
 def mixed(
     docs: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", alpha: float = 0.5, resolution: int = 200, block_docs: int = 64, max_sources: int = 1000,
 ) -> DataFrame:
@@ -102,6 +153,20 @@ def mixed(
     offsets = counts.select("src", "bucket", F.coalesce(before, F.lit(0)).alias("before"))
     number = F.row_number().over(Window.partitionBy("src", "bucket").orderBy("h", "id"))
     ranked = keyed.join(offsets, ["src", "bucket"]).withColumn("rank", F.col("before") + number - 1)
+    every = sources.orderBy("src").collect()
+    w, n, tickets, periods = (np.array([r[c] for r in every]) for c in ("w", "n", "tickets", "periods"))
+    none = ~(w > 0)
+    w = np.where(none, (w[~none].sum() or 1.0) / resolution / max(1, none.sum()), w)
+    if _off(w, tickets, periods) >= 1:
+        blocks = -(-n // block_docs)
+        source, number = _exact(w, blocks)
+        names = np.array([r.src for r in every], dtype=object)
+        spark = docs.sparkSession
+        sizes = spark.createDataFrame(pa.table({"src": pa.array(names, pa.string()), "n": n, "blocks": blocks}))
+        slots = spark.createDataFrame(pa.table({"src": pa.array(names[source], pa.string()), "block": number, "slot": np.arange(len(number))}))
+        found = ranked.join(F.broadcast(sizes), "src").withColumn("block", F.expr("(rank * blocks) div n"))
+        found = found.join(F.broadcast(slots) if len(number) <= BROADCAST_SLOTS else slots, ["src", "block"])
+        return found.select("row.*", F.col("block").alias("mix_block"), F.col("slot").alias("mix_slot"), F.expr("rank - (block * n + blocks - 1) div blocks").alias("mix_place"))
     # at most max_sources rows, which together hold at most max_sources * (resolution + max_sources) slots
     found = ranked.join(F.broadcast(_slots(sources)), "src")
     found = found.withColumn("block", F.expr("(rank * tickets * periods) div n")).withColumn("run", F.expr("filter(runs, r -> block div tickets >= r.low and block div tickets < r.high)[0]"))

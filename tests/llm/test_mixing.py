@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from kvloom.llm import mixing
@@ -73,3 +74,37 @@ def test_nulls_repeats_clashes_empty_and_limits(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
     with pytest.raises(ValueError, match="sources"):
         mixing.mixed(docs, max_sources=2)
+
+
+def deviation(w, source, until):
+    """The most blocks that any source is off its share of w, after any of the first slots."""
+    worst, done = 0.0, np.zeros(len(w))
+    for t, s in enumerate(source[:until], 1):
+        done[s] += 1
+        worst = max(worst, float(np.abs(done - t * w / w.sum()).max()))
+    return worst
+
+
+@pytest.mark.parametrize("case", ["hot 20", "hot 400", "hot 1000", "given 1000"])
+def test_exact_weights_keep_every_source_within_a_block(case):
+    number = int(case.split()[1])
+    blocks = np.full(number, 20)
+    blocks[0] = 10 * number
+    w = np.sqrt(blocks)
+    if case.startswith("given"):
+        w = np.full(number, 0.5 / (number - 1))
+        w[0] = 0.5
+    source, block = mixing._exact(w, blocks)
+    assert np.bincount(source).tolist() == blocks.tolist()
+    assert all((block[source == s] == np.arange(blocks[s])).all() for s in (0, 1, number - 1))
+    assert deviation(w, source, int(w.sum() * (blocks / w).min())) < 1
+
+
+def test_mix_follows_the_true_weights(spark):
+    """Rounded to 200 tickets, the hot source would get a share of 0.024 and not 0.035."""
+    sizes = {"hot": 1500} | {f"s{i:03}": 10 for i in range(300)}
+    out = mixing.mixed(docs_of(spark, sizes), block_docs=1).orderBy("mix_slot").collect()
+    assert [r.mix_slot for r in out] == list(range(4500)) and {r.mix_place for r in out} == {0}
+    names = sorted(sizes)
+    w = np.sqrt([sizes[s] for s in names])
+    assert deviation(w, [names.index(r.source) for r in out], 3000) < 1
