@@ -64,6 +64,14 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, whatever its case."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Have Arrow batches of at most so many rows from now on: with whole texts, the default of 10,000 takes much memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

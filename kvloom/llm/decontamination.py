@@ -11,14 +11,17 @@ nothing, nor do passages without such characters. Passages of fewer than min_cha
 only, and as whole words where the script parts words by spaces. Equal passages are found each for itself; of several
 places, the one with the fewest edits counts, then the first. Empty tables give no rows; extra columns are never looked at.
 
-Passages are broadcast in blocks of at most block_chars characters; documents are scanned once for each block.
+Items may be of any type that casts to text and back. Repeated documents are searched each for itself, and long ones whole:
+memory is some 30 bytes a character of the longest text.
+
+Passages are broadcast in blocks of at most block_chars characters, one at a time; documents are scanned once for each block.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import count
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import fresh, materialize, small_batches
 
 _PLAIN = np.arange(1 << 16, dtype=np.uint32)
 for _c in range(1 << 16):
@@ -34,22 +37,45 @@ for _c in range(1 << 16):
     _PLAIN[_c] = ord(_s.lower()) if _s.isalnum() and len(_s.lower()) == 1 else _c if _s.isalnum() else 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
-
-
-def plain(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(characters compared, where each stands in the text)."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+_LOW = np.uint64((1 << _BITS) - 1)
+_END = 0x110000  # ends each text; no character has this number
+_NOWHERE = -(1 << 30)
+_WINDOW = 1 << 18  # q-grams hashed at once
+_PIECE = 400_000  # characters of several texts searched at once
+
+
+def plain_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters compared of all texts, each text ended by _END; where each stands in its text; where each text ends)."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    ends = np.cumsum(sizes + 1) - 1
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     if len(codes) and codes.max() >= 1 << 16:
         out = np.where(codes < 1 << 16, _PLAIN[np.minimum(codes, (1 << 16) - 1)], codes)
     else:
         out = _PLAIN[codes]
-    keep = out != 32
-    keep[1:] |= keep[:-1]
+    solid = out != 32
+    keep = solid.copy()
+    keep[1:] |= solid[:-1]  # one space after a word
+    out[ends] = _END
+    keep[ends] = True
     at = np.flatnonzero(keep)
     out = out[at]
-    if len(out) and out[-1] == 32:
-        out, at = out[:-1], at[:-1]
-    return out, at
+    last = np.flatnonzero(out == _END)
+    spaces = last[out[last - 1] == 32] - 1 if len(last) else last  # but for the last word of a text
+    spaces = spaces[spaces >= 0]
+    if len(spaces):
+        keep = np.ones(len(out), bool)
+        keep[spaces] = False
+        out, at = out[keep], at[keep]
+        last = np.flatnonzero(out == _END)
+    at -= np.repeat(ends - sizes, np.diff(last, prepend=-1))
+    return out, at, last
+
+
+def plain(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(characters compared, where each stands in the text)."""
+    codes, at, _ = plain_all([text])
+    return codes[:-1], at[:-1]
 
 
 def grams(codes: np.ndarray, q: int) -> np.ndarray:
@@ -70,137 +96,141 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
 
 
 def align(passage: np.ndarray, region: np.ndarray, first: int, width: int, budget: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best place of passage in region, or None over budget.
+    """(edits, start, end) of the best place of passage in region, or None over budget. Start and end are free.
 
-    Only diagonals first .. first + width - 1 are filled in. Start and end are free.
+    Only diagonals first .. first + width - 1 are looked at. For each number of edits and each diagonal, what counts is
+    how far into the passage one gets; equal characters along a diagonal are passed in one step.
     """
-    big = 1 << 29
     m, n = len(passage), len(region)
-    offsets = np.arange(width)
-    start = first + offsets
-    cost = np.where((start >= 0) & (start <= n), 0, big)
-    origin = start.copy()
-    shift = max(0, -first) + 1
-    padded = np.full(shift + max(n, first + m + width) + 2, 0xFFFFFFFF, dtype=np.uint32)
+    diagonal = first + np.arange(width)
+    shift = max(0, -first)
+    padded = np.full(max(shift + n, first + shift + width + m), _END + 1, dtype=np.uint32)
     padded[shift : shift + n] = region
-    for i in range(m):
-        at = first + i + offsets  # the region's character that this step consumes
-        inside = (at >= 0) & (at < n)
-        # diagonal: consume one of each; cell (i + 1, at + 1) keeps its band offset
-        best = np.where(inside, cost + (padded[first + i + shift : first + i + shift + width] != passage[i]), big)
-        src = origin
-        # skip a character of the passage: from (i, at + 1), one offset to the right
-        up = np.append(cost[1:] + 1, big)
-        up_origin = np.append(origin[1:], 0)
-        valid = (at + 1 >= 0) & (at + 1 <= n)
-        better = (up < best) & valid
-        best, src = np.where(better, up, best), np.where(better, up_origin, src)
-        # skip characters of the region: run along the row
-        lead = best - offsets
-        low = np.minimum.accumulate(lead)
-        from_ = np.maximum.accumulate(np.where(lead == low, offsets, 0))
-        run = low + offsets
-        better = (run < best) & valid
-        cost, origin = np.where(better, run, np.where(valid, best, big)), np.where(better, src[from_], src)
-        if cost.min() > budget:
-            return None
-    k = int(cost.argmin())
-    if cost[k] > budget:
-        return None
-    return int(cost[k]), int(origin[k]), first + m + k
+    rows = np.lib.stride_tricks.sliding_window_view(padded, m)[first + shift : first + shift + width]
+    # for each diagonal and place in the passage: the next place at which characters differ
+    stop = np.full((width, m + 1), m, dtype=np.int32)
+    np.copyto(stop[:, :m], np.arange(m, dtype=np.int32), where=rows != passage)
+    stop = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
+    each, most = np.arange(width), np.minimum(n - diagonal, m)
+    reach = np.where((diagonal >= 0) & (diagonal <= n), 0, _NOWHERE)
+    start = diagonal.copy()
+    for edits in range(budget + 1):
+        if edits:
+            up = np.append(reach[1:], _NOWHERE) + 1  # a character of the passage is skipped
+            along = np.append(_NOWHERE, reach[:-1])  # one of the region
+            best = np.maximum(np.maximum(reach + 1, up), along)
+            start = np.where(best == reach + 1, start, np.where(best == up, np.append(start[1:], 0), np.append(0, start[:-1])))
+            reach = np.minimum(best, most)
+        there = reach >= 0
+        reach[there] = stop[each[there], reach[there]]
+        done = np.flatnonzero(reach == m)
+        if len(done):
+            k = done[np.lexsort((diagonal[done], start[done]))[0]]
+            return edits, int(start[k]), m + int(diagonal[k])
+    return None
+
+
+class Table:
+    """Passages by the hashes of their grams of q characters; `seen` spares the search for most that are in none."""
+
+    def __init__(self, q: int, codes: list[np.ndarray]) -> None:
+        self.q = q
+        every = [grams(x, q) for x in codes]
+        sizes = np.array([len(g) for g in every])
+        h = np.concatenate(every)
+        order = np.argsort(h, kind="stable")
+        self.owner = np.repeat(np.arange(len(every)), sizes)[order]
+        self.place = (np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+        self.hashes, first = np.unique(h[order], return_index=True)
+        self.first = np.append(first, len(h))
+        self.seen = np.zeros(1 << _BITS, dtype=bool)
+        self.seen[self.hashes & _LOW] = True
+
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, place in it, place in codes) of each shared gram."""
+        places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, len(codes) - self.q + 1, _WINDOW):
+            g = grams(codes[a : a + _WINDOW + self.q - 1], self.q)
+            maybe = np.flatnonzero(self.seen[g & _LOW])
+            if len(maybe):
+                some = g[maybe]
+                k = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
+                true = self.hashes[k] == some
+                places.append(maybe[true] + a)
+                found.append(k[true])
+        at, k = np.concatenate(places), np.concatenate(found)
+        sizes = self.first[k + 1] - self.first[k]
+        entry = np.repeat(self.first[k] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return self.owner[entry], self.place[entry], np.repeat(at, sizes)
 
 
 class Grams:
-    """The q-grams of passages: (number, characters, edits allowed)."""
+    """Passages (number, characters, edits allowed), searched by q-grams."""
 
     def __init__(self, passages: list[tuple[int, np.ndarray, int]], q: int) -> None:
-        self.q = q
-        self.ids, self.codes, self.budget, self.least = [], [], [], []
-        hashes, owner, place = [], [], []
-        for item_id, codes, k in passages:
-            bound = len(codes) - q + 1 - k * q
-            g = grams(codes, q)
-            hashes.append(g)
-            owner.append(np.full(len(g), len(self.ids)))
-            place.append(np.arange(len(g)))
-            self.ids.append(item_id)
-            self.codes.append(codes)
-            self.budget.append(k)
-            self.least.append(bound)
-        self.band = max(self.budget, default=0) + 1
-        self.least_of = np.array(self.least, dtype=np.int64)
-        if hashes:
-            h = np.concatenate(hashes)
-            order = np.argsort(h, kind="stable")
-            self.owner, self.place = np.concatenate(owner)[order], np.concatenate(place)[order]
-            self.hashes, self.first = np.unique(h[order], return_index=True)
-            self.first = np.append(self.first, len(h))
-            self.seen = np.zeros(1 << _BITS, dtype=bool)
-            self.seen[(self.hashes & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-
-    def find(self, codes: np.ndarray) -> Iterator[tuple]:
-        """(number, edits, start, end) of each passage that occurs in the characters."""
-        g = grams(codes, self.q)
-        maybe = np.flatnonzero(self.seen[(g & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
-        if len(maybe) == 0:
-            return
-        k = np.minimum(np.searchsorted(self.hashes, g[maybe]), len(self.hashes) - 1)
-        true = self.hashes[k] == g[maybe]
-        maybe, k = maybe[true], k[true]
-        sizes = self.first[k + 1] - self.first[k]
-        if len(k) == 0:
+        self.numbers, self.codes, self.budget = (list(x) for x in zip(*passages, strict=True))
+        self.table = Table(q, self.codes)
+        self.least = np.array([len(c) - q + 1 - k * q for c, k in zip(self.codes, self.budget, strict=True)], dtype=np.int64)
+        self.band = max(self.budget) + 1
+
+    def find(self, codes: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+        """(text, number, edits, start, end) of each passage that occurs; start and end count from codes' beginning."""
+        item, place, at = self.table.hits(codes)
+        text = np.searchsorted(ends, at)
+        # the bound holds for the whole text first: most texts share too few grams with any passage
+        pair, own, counts = np.unique(text * len(self.codes) + item, return_inverse=True, return_counts=True)
+        enough = counts >= self.least[pair % len(self.codes)]
+        if not enough.any():
             return
-        entry = np.repeat(self.first[k] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        item, diagonal = self.owner[entry], np.repeat(maybe, sizes) - self.place[entry]
+        mine = enough[own]
+        own, place, at = own[mine], place[mine], at[mine]
+        begins = np.append(0, ends[:-1] + 1)
         # a band holds 2 * self.band diagonals and starts every self.band: diagonals self.band apart or less share one
-        lower = diagonal // self.band
-        key = np.concatenate([item * (1 << 40) + lower + (1 << 20), item * (1 << 40) + lower - 1 + (1 << 20)])
-        where = np.tile(self.place[entry], 2)
+        lower = (at - begins[pair[own] // len(self.codes)] - place) // self.band
+        key = np.concatenate([own * (1 << 40) + lower + (1 << 20), own * (1 << 40) + lower - 1 + (1 << 20)])
+        where = np.tile(place, 2)
         order = np.lexsort((where, key))
         key, where = key[order], where[order]
         once = np.ones(len(key), bool)  # a q-gram of the passage counts once for each band
         once[1:] = (key[1:] != key[:-1]) | (where[1:] != where[:-1])
         keys, counts = np.unique(key[once], return_counts=True)
-        owners = keys >> 40
-        good = counts >= self.least_of[owners]
+        pairs = pair[keys >> 40]
+        good = counts >= self.least[pairs % len(self.codes)]
         best: dict[int, tuple] = {}
-        for i, band in zip(owners[good].tolist(), ((keys[good] & ((1 << 40) - 1)) - (1 << 20)).tolist(), strict=True):
-            if i in best and best[i][0] == 0:  # further bands only begin later
+        for p, band in zip(pairs[good].tolist(), ((keys[good] & ((1 << 40) - 1)) - (1 << 20)).tolist(), strict=True):
+            if p in best and best[p][0] == 0:  # further bands only begin later
                 continue
+            i, begin = p % len(self.codes), int(begins[p // len(self.codes)])
+            own_codes = codes[begin : int(ends[p // len(self.codes)])]
             passage, budget = self.codes[i], self.budget[i]
             first = band * self.band - budget
             lo = max(0, first)
-            hi = min(len(codes), (band + 2) * self.band + len(passage) + budget)
-            found = align(passage, codes[lo:hi], first - lo, 2 * self.band + 2 * budget, budget)
-            if found and (i not in best or (found[0], lo + found[1]) < best[i][:2]):
-                best[i] = (found[0], lo + found[1], lo + found[2])
-        for i, place in best.items():
-            yield self.ids[i], *place
+            hi = min(len(own_codes), (band + 2) * self.band + len(passage) + budget)
+            found = align(passage, own_codes[lo:hi], first - lo, 2 * self.band + 2 * budget, budget)
+            if found and (p not in best or (found[0], begin + lo + found[1]) < best[p][:2]):
+                best[p] = (found[0], begin + lo + found[1], begin + lo + found[2])
+        for p, place in best.items():
+            yield p // len(self.codes), self.numbers[p % len(self.codes)], *place
 
 
 class Short:
-    """Passages of one length that are found without edits: (number, characters)."""
+    """Passages (number, characters) of one length that are found without edits."""
 
     def __init__(self, passages: list[tuple[int, np.ndarray]]) -> None:
-        self.n = len(passages[0][1])
-        h = np.array([grams(codes, self.n)[0] for _, codes in passages], dtype=np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.passages = [passages[i] for i in order.tolist()]
+        self.numbers, self.codes = (list(x) for x in zip(*passages, strict=True))
+        self.n = len(self.codes[0])
+        self.table = Table(self.n, self.codes)
 
-    def find(self, codes: np.ndarray) -> Iterator[tuple]:
-        g = grams(codes, self.n)
-        low, high = np.searchsorted(self.hashes, g, side="left"), np.searchsorted(self.hashes, g, side="right")
+    def find(self, codes: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+        item, _, at = self.table.hits(codes)
+        text = np.searchsorted(ends, at)
         seen = set()
-        for start in np.flatnonzero(high > low).tolist():
+        for t, i, start in zip(text.tolist(), item.tolist(), at.tolist(), strict=True):
             end = start + self.n
-            if _inside_word(codes, start) or _inside_word(codes, end):
+            if (t, i) in seen or not np.array_equal(codes[start:end], self.codes[i]) or _inside_word(codes, start) or _inside_word(codes, end):
                 continue
-            for k in range(int(low[start]), int(high[start])):
-                number, passage = self.passages[k]
-                if number not in seen and np.array_equal(codes[start:end], passage):
-                    seen.add(number)
-                    yield number, 0, start, end
+            seen.add((t, i))
+            yield t, self.numbers[i], 0, start, end
 
 
 def _inside_word(codes: np.ndarray, at: int) -> bool:
@@ -221,27 +251,65 @@ class Passages:
                 long[min(q, len(codes) // (k + 1))].append((number, codes, k))  # n - q + 1 - k q is 1 or more up to this q
             elif len(codes):
                 short[len(codes)].append((number, codes))
-        self.parts = [Grams(x, own) for own, x in sorted(long.items())] + [Short(x) for _, x in sorted(short.items())]
+        self.parts = [Grams(own, x) for x, own in sorted(long.items())] + [Short(x) for _, x in sorted(short.items())]
 
-    def find(self, text: str) -> Iterator[tuple]:
-        """(item, edits, start, end) of each passage that occurs; start and end count the text's characters."""
-        if not self.parts or not text:
+    def find_all(self, texts: list[str | None]) -> Iterator[tuple]:
+        """(text, item, edits, start, end) of each passage that occurs; start and end count the text's characters."""
+        if not self.parts:
             return
-        codes, at = plain(text)
-        for number, edits, start, end in sorted(x for part in self.parts for x in part.find(codes)):
-            yield self.ids[number], edits, int(at[start]), int(at[max(start, end - 1)]) + 1
+        texts = [t or "" for t in texts]
+        first = 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and (last == first or size + len(texts[last]) <= _PIECE):
+                size += len(texts[last])
+                last += 1
+            codes, at, ends = plain_all(texts[first:last])
+            for t, number, edits, start, end in sorted(x for part in self.parts for x in part.find(codes, ends)):
+                yield first + t, self.ids[number], edits, int(at[start]), int(at[max(start, end - 1)]) + 1
+            first = last
+
+    def find(self, text: str) -> Iterator[tuple]:
+        """(item, edits, start, end) of each passage that occurs in one text."""
+        for _, *found in self.find_all([text]):
+            yield tuple(found)
 
 
-def _passage_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple]]:
-    held, size = [], 0
-    for r in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").toLocalIterator():
+def _passage_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[tuple[list[tuple], bool]]:
+    """(passages of a block, whether it is the only one). Items are text here, so that they may be of any type."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    held, size, alone = [], 0, True
+    for r in rows.toLocalIterator():
         if held and size + len(r.t) > block_chars:
-            yield held
+            alone = False
+            yield held, alone
             held, size = [], 0
         held.append((r.i, r.t))
         size += len(r.t)
     if held:
-        yield held
+        yield held, alone
+
+
+def _searched(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, q: int, rate: float, min_chars: int, block_chars: int, search: Callable, schema: T.StructType, chain: bool) -> list[DataFrame]:
+    """What search(passages, batch) gives, for each block of passages; if chain, each block searches what the last one gave.
+
+    A single block is searched lazily. Of several, each is written before the next one is sent, so that one is held at a time.
+    """
+    out: list[DataFrame] = []
+    sc = rows.sparkSession.sparkContext
+    for block, alone in _passage_blocks(benchmark, item_col, item_text_col, block_chars):
+        shared = sc.broadcast(Passages(block, q, rate, min_chars))
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                yield search(shared.value, batch)
+
+        found = (out[-1] if chain and out else rows).mapInArrow(run, schema)
+        if not alone:
+            found = materialize(found, "leaks")
+            shared.destroy()
+        out.append(found)
+    return out
 
 
 def leaks(
@@ -252,40 +320,33 @@ def leaks(
     spark = docs.sparkSession
     small_batches(spark)
     schema = T.StructType([
-        T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType),
+        T.StructField("id", docs.schema[id_col].dataType), T.StructField("item", T.StringType()),
         T.StructField("edits", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
     ])
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    out = None
-    for block in _passage_blocks(benchmark, item_col, item_text_col, block_chars):
-        shared = spark.sparkContext.broadcast(Passages(block, q, rate, min_chars))
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64()]
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                hits = [(i, *x) for i, t in zip(count(), batch.column(1)) for x in shared.value.find(t.as_py() or "")]
-                cols = list(zip(*hits, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64() if item_is_int else pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())],
-                    names=[id_col, item_col, "edits", "start", "end"],
-                )
+    def search(passages: Passages, batch: pa.RecordBatch) -> pa.RecordBatch:
+        hits = list(passages.find_all(batch.column(1).to_pylist()))
+        cols = list(zip(*hits, strict=True)) or [()] * 5
+        arrays = [pa.array(c, kind) for c, kind in zip(cols[1:], kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *arrays], names=schema.names)
 
-        item_is_int = isinstance(benchmark.schema[item_col].dataType, T.LongType)
-        found = rows.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    parts = _searched(rows, benchmark, item_col, item_text_col, q, rate, min_chars, block_chars, search, schema, chain=False)
+    out = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return out.select(F.col("id").alias(id_col), F.col("item").cast(benchmark.schema[item_col].dataType).alias(item_col), "edits", "start", "end")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = 8, rate: float = 0.1, min_chars: int = 24, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of docs in which no passage occurs, with all their columns."""
     small_batches(docs.sparkSession)
-    for block in _passage_blocks(benchmark, item_col, item_text_col, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(Passages(block, q, rate, min_chars))
+    held = fresh("text", docs.columns)
+    rows = docs.withColumn(held, F.col(text_col).cast("string"))
+    at = len(docs.columns)
 
-        def run(batches, shared=shared):
-            for batch in batches:
-                clean = [next(shared.value.find(t.as_py() or ""), None) is None for t in batch.column(batch.schema.get_field_index("_text"))]
-                kept = batch.filter(pa.array(clean, pa.bool_()))
-                yield kept.select([i for i in range(kept.num_columns) if kept.schema.names[i] != "_text"])
+    def search(passages: Passages, batch: pa.RecordBatch) -> pa.RecordBatch:
+        dirty = {x[0] for x in passages.find_all(batch.column(at).to_pylist())}
+        return batch.filter(pa.array([i not in dirty for i in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
-    return docs
+    parts = _searched(rows, benchmark, item_col, item_text_col, q, rate, min_chars, block_chars, search, rows.schema, chain=True)
+    return parts[-1].drop(held) if parts else docs
