@@ -7,7 +7,9 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and \x09 to \x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -64,6 +66,36 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, buckets: int, tag: str) -> DataFrame:
+    """Like materialize, with rows of one value of `by` in one bucket: joins on it read the rows where they are.
+
+    Only the catalog knows of buckets; its entry is dropped again once the table is resolved, the files stay.
+    """
+    spark = df.sparkSession
+    name, path = f"kvloom_{tag}_{uuid.uuid4().hex}", new_path(spark, tag)
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, by).saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # noqa: B018
+    spark.sql(f"drop table {name}")
+    return found
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "left", share: int = 1000, least: int = 10_000) -> DataFrame:
+    """rows with the columns of their group (one row for each value of keys, never null, with its number of rows as `size`).
+
+    Groups that hold more than one in `share` of all rows, fewer than `share` in all, are broadcast, so that none of them
+    lands in one task; the others are joined by a shuffle.
+    """
+    total, largest = groups.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    limit = max(least, total // share)
+    if largest <= limit:
+        return rows.join(groups.drop(size), keys, how)
+    hot = groups.where(F.col(size) > limit)
+    few = rows.join(F.broadcast(hot.drop(size)), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return few.unionByName(rest.join(groups.where(F.col(size) <= limit).drop(size), keys, how))
+
+
 def fresh(name: str, taken: list[str]) -> str:
     """A column name that is not taken, whatever its case."""
     low = {x.lower() for x in taken}
@@ -126,39 +158,35 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-_MULT = 0x9E3779B97F4A7C15
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, dtype=np.uint64)
-    out[0] = 1
-    step, filled = base, 1
-    while filled < n:  # doubling: out[filled:2 filled] = out[:filled] * base**filled
-        take = min(filled, n - filled)
-        out[filled : filled + take] = out[:take] * np.uint64(step)
-        step = step * step & 0xFFFFFFFFFFFFFFFF
-        filled += take
-    return out
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), element by element."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
-_BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULT))
-_BASE = 0xBF58476D1CE4E5B9
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_LONG_WORD = 256
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, by differences of one running polynomial sum."""
+    """A 64-bit hash of each span's bytes, eight bytes at a time; spans over _LONG_WORD bytes are hashed one by one."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[buf] * _powers(_BASE, len(buf)), out=total[1:])
-    return mix64((total[ends] - total[starts]) * _powers(_INVERSE, len(buf) + 1)[starts] + (ends - starts).astype(np.uint64))
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[:-8] = buf
+    eight = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    left = ends - starts
+    out = mix64((eight[starts] & _LOW_BYTES[np.minimum(left, 8)]) ^ (left.astype(np.uint64) << np.uint64(56)))
+    rest = np.flatnonzero((left > 8) & (left <= _LONG_WORD))
+    done = 8
+    while len(rest):
+        out[rest] = mix64(out[rest] + (eight[starts[rest] + done] & _LOW_BYTES[np.minimum(left[rest] - done, 8)]))
+        done += 8
+        rest = rest[left[rest] > done]
+    for i in np.flatnonzero(left > _LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(padded[starts[i] : ends[i]])
+    return out
