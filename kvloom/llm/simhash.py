@@ -4,7 +4,7 @@ Fingerprints within r bits of each other, cut into m blocks, agree on at least m
 fingerprint is therefore filed under every choice of m - r blocks; files with two or more members are searched for pairs
 within r bits. A search walks from member to member over those not yet reached, and gives only the links of a spanning
 forest, never all pairs. Larger files are dealt as pairs of chunks, so no task holds a whole one. Components of the links
-join the documents. near_dedup files shingle sets under their prefixes in the same way, and decides on the sets.
+join the documents.
 
 Null and empty texts have fingerprint zero and are linked like any other. Extra columns are never looked at. An empty
 table gives an empty result. The smallest id names a component; null ids count only where there is no other.
@@ -13,7 +13,7 @@ table gives an empty result. The smallest id names a component; null ids count o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations, count, repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -175,141 +175,3 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lows = named.groupBy("label").agg(F.min("low").alias("component_id"))
     of_fp = named.join(lows, "label").select("fp", "component_id")
     return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# Near copies by Jaccard similarity of shingle sets, exactly: prefix filter, and each candidate decided on the sets.
-
-ORDER_ROWS = 10_000  # documents sampled for the order of shingles
-ORDER_SIZE = 200_000  # shingles told apart by frequency
-
-
-def prefix_length(n: int, percent: int) -> int:
-    """A set of n shares at least ceil(n percent / 100) elements with any set so similar, so one of its first so many in any order that all sets follow."""
-    return n - (n * percent + 99) // 100 + 1
-
-
-def jaccard(percent: int) -> Callable:
-    """Links of a spanning forest between sets, given as bytes of sorted hashes, of a similarity of percent / 100 or more."""
-
-    def links(values, cuts):
-        buf, off = binary_parts(values)
-        every, off = np.frombuffer(buf.tobytes(), dtype=np.uint64), off // 8
-        size = np.diff(off)
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if e - s == 2:
-                n, m = int(size[s]), int(size[s + 1])
-                if min(n, m) * 100 >= max(n, m) * percent:
-                    both = np.sort(every[off[s] : off[s + 2]])
-                    if int((both[1:] == both[:-1]).sum()) * (100 + percent) >= (n + m) * percent:
-                        yield np.array([s]), np.array([s + 1])
-                continue
-            names, number = np.unique(every[off[s] : off[e]], return_inverse=True)
-            start, mark = off[s : e + 1] - off[s], np.zeros(len(names) + 1, dtype=bool)
-            left = np.arange(e - s)
-            while len(left) > 1:
-                queue, left = [int(left[0])], left[1:]
-                while queue and len(left):
-                    at = queue.pop()
-                    n = int(size[s + at])
-                    fit = size[s + left]
-                    fit = np.flatnonzero(np.minimum(fit, n) * 100 >= np.maximum(fit, n) * percent)
-                    if len(fit) == 0:
-                        continue
-                    own = number[start[at] : start[at + 1]]
-                    mark[own] = True
-                    shared = np.zeros(len(fit), np.int64)
-                    for i in range(0, len(fit), 512):
-                        rows = left[fit[i : i + 512]]
-                        n_rows = size[s + rows]
-                        ends = np.cumsum(n_rows)
-                        hits = np.cumsum(mark[number[np.repeat(start[rows] - ends + n_rows, n_rows) + np.arange(n_rows.sum())]])
-                        upto = np.append(0, hits)[ends]
-                        shared[i : i + 512] = np.diff(upto, prepend=0)
-                    mark[own] = False
-                    near = fit[shared * (100 + percent) >= (n + size[s + left[fit]]) * percent]
-                    if len(near):
-                        found, left = left[near], np.delete(left, near)
-                        queue.extend(found.tolist())
-                        yield np.full(len(found), s + at), s + found
-
-    return links
-
-
-def shingle_sets(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
-    buf, off = binary_parts(column)
-    raw = memoryview(buf)
-    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-        yield np.unique(shingle_hashes(bytes(raw[a:b]), shingle))
-
-
-def frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles in order, how often each occurs) of those that occur three times or more in a sample of texts.
-
-    They only put common shingles last in the order of the prefixes; which order it is changes no result.
-    """
-    number = texts.count()
-
-    def run(batches):
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(0), shingle)) or [np.zeros(0, np.uint64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["h"])
-
-    some = texts.sample(min(1.0, ORDER_ROWS / max(1, number)), SEED).mapInArrow(run, "h long")
-    found = some.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n")).limit(ORDER_SIZE).collect()
-    h, n = np.array([r.h for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, chunk: int = 8192) -> DataFrame:
-    """The rows of docs without near copies: of each component, the row with the smallest id stays, with all columns.
-
-    Rows are linked when the Jaccard similarity of their shingle sets is percent / 100 or more, whatever their length. Null
-    ids come last; of rows with the same id, one stays. Texts without words are alike.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    text = F.col(text_col).cast("string").cast("binary")
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.struct(*docs.columns).alias("row"))
-    state = materialize(rows, "near")
-    texts = state.select(F.col("uid").alias("node"), F.col("row")[text_col].cast("string").cast("binary").alias("t"))
-
-    def every(batches):
-        for batch in batches:
-            for first in range(0, batch.num_rows, 128):
-                some = batch.slice(first, 128)
-                found = list(shingle_sets(some.column(1), shingle))
-                nodes = np.repeat(some.column(0).to_numpy(), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(nodes)], names=["key", "node"])
-
-    # a similar set lacks a fifth of a set's shingles at most: sets with more that occur nowhere else have none
-    once = texts.mapInArrow(every, "key long, node long").groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    alone = once.groupBy("node").agg(F.count("*").alias("alone"))
-    shared = spark.sparkContext.broadcast(frequent(docs.select(text.alias("t")), shingle))
-
-    def prefix(found: np.ndarray) -> np.ndarray:
-        if len(found) == 0:
-            return np.zeros(1, np.int64)
-        often, times = shared.value
-        if len(often):
-            k = np.minimum(np.searchsorted(often, found), len(often) - 1)
-            found = found[np.argsort(np.where(often[k] == found, times[k], 0), kind="stable")]
-        return found[: prefix_length(len(found), percent)].view(np.int64)
-
-    def sets(batches):
-        for batch in batches:
-            own = [(i, found) for i, found, n in zip(count(), shingle_sets(batch.column(1), shingle), batch.column(2).to_pylist(), strict=False) if n < prefix_length(len(found), percent)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([i for i, _ in own], pa.int64())), pa.array([x.tobytes() for _, x in own], pa.binary()), pa.array([prefix(x) for _, x in own], pa.list_(pa.int64()))],
-                names=["node", "found", "keys"],
-            )
-
-    counted = texts.join(alone, "node", "left").select("node", "t", F.coalesce("alone", F.lit(0)).alias("alone"))
-    held = materialize(counted.mapInArrow(sets, "node long, found binary, keys array<long>"), "sets")
-    members = shared_files(held.select(F.lit(0).alias("t"), "node", F.explode("keys").alias("key")), chunk)
-    full = members.join(held.select("node", "found"), "node").select("t", "key", "p", "q", "node", "found")
-    label = components(linked(full, jaccard(percent)))
-    ranked = label.join(state.select(F.col("uid").alias("node"), "id"), "node").withColumn("rank", F.struct(F.col("id").isNull().alias("none"), "id", "node"))
-    stays = ranked.groupBy("label").agg(F.min("rank").alias("rank")).select(F.col("rank.node").alias("node"))
-    goes = label.select("node").join(stays, "node", "left_anti")
-    return state.select("uid", "row").join(goes.withColumnRenamed("node", "uid"), "uid", "left_anti").select("row.*")

@@ -8,6 +8,7 @@ import xxhash
 
 from kvloom.llm import simhash as sh
 from kvloom.llm.components import components
+from kvloom.llm.near_dedup import near_dedup
 
 
 def brute(rows, distance=3, size=3):
@@ -84,16 +85,16 @@ def test_components_of_chains_and_stars(spark):
 
 def test_empty_and_string_ids(make_docs, spark):
     assert sh.simhash_groups(make_docs([])).count() == 0
-    assert sh.near_dedup(make_docs([])).count() == 0
+    assert near_dedup(make_docs([])).count() == 0
     docs = spark.createDataFrame([("b", "same text here now", 1), ("a", "same text here now", 2), (None, "same text here now", 3)], "doc_id string, text string, fp long")
     assert {r.component_id for r in sh.simhash_groups(docs).collect()} == {"a"}
-    assert [r.fp for r in sh.near_dedup(docs).collect()] == [2]
+    assert [r.fp for r in near_dedup(docs).collect()] == [2]
 
 
 @pytest.mark.parametrize("chunk", [8192, 4])
 def test_near_dedup_keeps_one_of_each_group(make_docs, chunk):
     rows = near_copies(random.Random(6), 20, 5, words=300, edits=3) + [(1000 + i, t) for i, t in enumerate(["", "a", "a b c", "a b d", "a b c d e f", "a b c d e g"])]
-    kept = {r.doc_id for r in sh.near_dedup(make_docs(rows).repartition(3), chunk=chunk).collect()}
+    kept = {r.doc_id for r in near_dedup(make_docs(rows).repartition(3), hot=chunk, piece_bytes=4000).collect()}
     assert kept == {i for i in range(100) if i % 5 == 0} | set(range(1000, 1006))
 
 
@@ -118,7 +119,7 @@ def test_near_dedup_is_exact_at_every_length(make_docs, chunk):
             pairs.append((" ".join(base + base[:3]), " ".join(cut)))
     pairs.append((" ".join(f"a{i}" for i in range(16)), " ".join(f"a{i}" for i in range(19))))  # 12 of 15: 0.8 itself
     rows = [(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
-    kept = {r.doc_id for r in sh.near_dedup(make_docs(rows).repartition(3), chunk=chunk).collect()}
+    kept = {r.doc_id for r in near_dedup(make_docs(rows).repartition(3), hot=chunk, piece_bytes=4000).collect()}
     parent = {i: i for i, _ in rows}
 
     def find(x):
@@ -134,3 +135,48 @@ def test_near_dedup_is_exact_at_every_length(make_docs, chunk):
                 parent[max(x, y)] = min(x, y)
     assert kept == {i for i in parent if find(i) == i}
     assert 0 < sum(find(i) != i for i in parent) < len(pairs)
+
+
+@pytest.mark.parametrize("hot", [1 << 20, 5])
+def test_near_dedup_of_large_groups_and_common_passages(make_docs, hot):
+    """Against all pairs: a large group of near copies, chains, a common passage, repeats, empty texts and null ids."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(800)}"
+    passage = [word() for _ in range(30)]
+    base = [word() for _ in range(60)]
+    rows: list = [(None, " ".join(base)), (900, None), (901, ""), (902, " "), (903, "one two"), (904, "One  Two")]
+    for _ in range(60):
+        t = base[:]
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(60)] = word()
+        rows.append((len(rows), " ".join(t)))
+    chain = [word() for _ in range(50)]
+    for _ in range(15):
+        chain[rng.randrange(50)] = word()
+        rows.append((len(rows), " ".join(chain)))
+    for _ in range(30):
+        rows.append((len(rows), " ".join([word() for _ in range(rng.randrange(4, 12))] + passage[: rng.randrange(20, 31)])))
+    rows += [(len(rows) + i, rows[10 + i][1]) for i in range(5)]
+    kept = sorted((-1 if r.doc_id is None else r.doc_id) for r in near_dedup(make_docs(rows).repartition(4), hot=hot, piece_bytes=2000).collect())
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if similarity(rows[a][1] or "", rows[b][1] or "") >= 0.8 - 1e-9:
+                parent[find(a)] = find(b)
+    groups: dict = {}
+    for k, (i, _) in enumerate(rows):
+        groups.setdefault(find(k), []).append((i is None, -1 if i is None else i))
+    assert kept == sorted(min(g)[1] for g in groups.values())
+    assert len(kept) < len(rows) - 60
+
+
+def test_near_dedup_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(2, "a b c d e f", "x", 5), (1, "a b c d e f", "y", 6)], "doc_id long, text string, uid string, home long")
+    out = near_dedup(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "a b c d e f", "y", 6)]
