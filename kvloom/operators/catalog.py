@@ -33,12 +33,29 @@ def live(tables: DataFrame) -> DataFrame:
 
 
 def create_tables(requests: DataFrame, dbs: DataFrame, tables: DataFrame) -> DataFrame:
-    """requests (req_id, db_id, table_name, shard_count, replica_count) with status."""
+    """requests (req_id, db_id, table_name, shard_count, replica_count) with status. Of several for one new name, the first by req_id is taken."""
     known = dbs.select("db_id").distinct().withColumn("has_db", F.lit(True))
     names = live(tables).select("db_id", "table_name").distinct().withColumn("taken", F.lit(True))
     valid = (F.col("table_name") != "") & (F.col("shard_count") > 0) & (F.col("replica_count") >= 0)
     status = F.when(~valid, "INVALID_ARGUMENT").when(F.col("has_db").isNull(), "DB_NOT_FOUND").when(F.col("taken"), "ALREADY_EXIST").otherwise("OK")
-    return requests.join(known, "db_id", "left").join(names, ["db_id", "table_name"], "left").select("req_id", "db_id", "table_name", status.alias("status"))
+    decided = requests.join(known, "db_id", "left").join(names, ["db_id", "table_name"], "left").select("req_id", "db_id", "table_name", status.alias("status"))
+    first = decided.where("status = 'OK'").groupBy("db_id", "table_name").agg(F.min("req_id").alias("first"))
+    late = (F.col("status") == "OK") & (F.col("req_id") != F.col("first"))
+    return decided.join(first, ["db_id", "table_name"], "left").select("req_id", "db_id", "table_name", F.when(late, "ALREADY_EXIST").otherwise(F.col("status")).alias("status"))
+
+
+def by_state(tables: DataFrame, *states: str) -> DataFrame:
+    return tables.where(F.col("state").isin(*states))
+
+
+def set_states(tables: DataFrame, requests: DataFrame) -> DataFrame:
+    """table_id, status, next_state of requests (table_id, state); a table's return from DELETED fails if its name is taken by then."""
+    live_names = live(tables).select("db_id", "table_name", F.col("table_id").alias("holder"))
+    known = requests.withColumnRenamed("state", "wanted").join(tables.select("table_id", "db_id", "table_name", F.col("state").alias("now")), "table_id", "left")
+    holders = known.join(live_names, ["db_id", "table_name"], "left").withColumn("taken", (F.col("holder") != F.col("table_id")) & (F.col("wanted") != "DELETED"))
+    one = holders.groupBy("table_id", "wanted", "now").agg(F.coalesce(F.bool_or("taken"), F.lit(False)).alias("taken"))
+    status = F.when(F.col("now").isNull(), "TABLE_NOT_FOUND").when(F.col("taken"), "ALREADY_EXIST").otherwise("OK")
+    return one.select("table_id", status.alias("status"), F.when(status == "OK", F.col("wanted")).otherwise(F.col("now")).alias("next_state"))
 
 
 def alter_replica_count(requests: DataFrame) -> DataFrame:

@@ -15,6 +15,14 @@ SHARD = ["table_id", "shard_index"]
 REPLICA = [*SHARD, "replica_seq"]
 
 
+def shard_text() -> Column:
+    return F.concat_ws(":", *SHARD)
+
+
+def replica_text() -> Column:
+    return F.concat_ws(":", *REPLICA)
+
+
 def pool_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("resource_pool").agg(F.count("*").alias("n"), F.min("node_id").alias("first_id"), F.max("node_id").alias("last_id"))
 
@@ -93,8 +101,11 @@ def group_health(replicas: DataFrame) -> DataFrame:
     return replicas.groupBy(*SHARD).agg(F.count("*").alias("total"), n(healthy()).alias("healthy"), n(bad()).alias("bad"))
 
 
-def _groups(members: DataFrame, replicas: DataFrame) -> DataFrame:
-    """One row per group: counts, the member to remove first, and the first member to add."""
+def _groups(members: DataFrame, replicas: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """One row per group: counts, the member to remove first, and the first member to add.
+
+    groups (table_id, shard_index, target_replica_count, mode) has those without members too; else groups are what has members.
+    """
     rows = members.join(replicas.withColumn("known", F.lit(True)), REPLICA, "left")
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     first = lambda c: F.min_by("replica_seq", F.when(F.coalesce(c, F.lit(False)), F.col("pos")))
@@ -107,6 +118,9 @@ def _groups(members: DataFrame, replicas: DataFrame) -> DataFrame:
         first(ready & (F.col("member_type") == "NON_MEMBER")).alias("add"),
         F.bool_and(F.coalesce(ready & (F.col("member_type") == "VOTER"), F.lit(False))).alias("all_ready"),
     )
+    if groups is not None:
+        known = groups.select(*SHARD, F.col("target_replica_count").alias("target"), "mode")
+        found = known.join(found.drop("target", "mode"), SHARD, "left").fillna(0, ["size", "healthy", "bad", "voters"]).fillna(True, ["all_ready"])
     victim = F.coalesce("first_bad", F.when(F.col("size") > F.col("target"), F.col("last")))
     return found.withColumn("victim", victim)
 
@@ -135,7 +149,10 @@ def reconfig_commands(members: DataFrame, replicas: DataFrame) -> DataFrame:
 
 
 def plan_groups(tables: DataFrame, members: DataFrame) -> DataFrame:
-    """What to do about the group of each shard, for tables that are neither FAILED nor DELETED; DROPPING ones should vanish."""
+    """What to do about the group of each shard, for tables that are neither FAILED nor DELETED; DROPPING ones should vanish.
+
+    members may be the groups themselves: a group without members exists.
+    """
     groups = members.groupBy(*SHARD).agg(F.max("target_replica_count").alias("target"))
     shards = tables.where("state not in ('FAILED', 'DELETED')").withColumn("shard_index", F.explode(F.sequence(F.lit(0), F.col("shard_count") - 1)))
     rows = shards.join(groups, SHARD, "left")
@@ -145,9 +162,9 @@ def plan_groups(tables: DataFrame, members: DataFrame) -> DataFrame:
     return rows.select(*SHARD, F.when(F.col("state") == "DROPPING", going).otherwise(staying).alias("action"))
 
 
-def group_action(members: DataFrame, replicas: DataFrame) -> DataFrame:
+def group_action(members: DataFrame, replicas: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The next step of each group, and how many members it concerns."""
-    g = _groups(members, replicas)
+    g = _groups(members, replicas, groups)
     kind = replicas.select(*SHARD, F.col("replica_seq").alias("victim"), F.col("member_type").alias("victim_type"))
     g = g.join(kind, [*SHARD, "victim"], "left")
     size, target, missing = F.col("size"), F.col("target"), F.col("target") - F.col("healthy")
@@ -162,6 +179,46 @@ def group_action(members: DataFrame, replicas: DataFrame) -> DataFrame:
     return g.withColumn("action", action).select(*SHARD, "action", n.cast("long").alias("n"))
 
 
+def cleanup(groups: DataFrame) -> DataFrame:
+    """groups to be cleaned up (mode, target, size, all_ready) with next_mode: a full group of ready voters is left to its log, an emptied one starts anew."""
+    full = (F.col("mode") == "BOOTSTRAP") & (F.col("size") == F.col("target")) & F.col("all_ready")
+    emptied = (F.col("mode") == "RAFT_RECONFIG") & (F.col("target") == 0)
+    return groups.withColumn("next_mode", F.when(full, "RAFT_RECONFIG").when(emptied, "BOOTSTRAP").otherwise(F.col("mode")))
+
+
+def group_modes(members: DataFrame, replicas: DataFrame, groups: DataFrame) -> DataFrame:
+    """Mode and next mode of each group that is cleaned up."""
+    acted = group_action(members, replicas, groups).where("action in ('CLEANUP', 'SWITCH_MODE')").select(*SHARD)
+    return cleanup(_groups(members, replicas, groups).join(acted, SHARD)).select(*SHARD, "mode", "next_mode")
+
+
+def new_members(groups: DataFrame, counts: DataFrame) -> DataFrame:
+    """Replica ids for members to be added: groups (table_id, shard_index, next_seq) and counts (.., n) to table_id, shard_index, replica_seq, next_seq."""
+    rows = groups.join(counts.where("n > 0"), SHARD)
+    return rows.select(*SHARD, F.explode(F.sequence(F.col("next_seq"), F.col("next_seq") + F.col("n") - 1)).alias("replica_seq"), (F.col("next_seq") + F.col("n")).alias("next_seq"))
+
+
+def register_nodes(nodes: DataFrame, requests: DataFrame) -> DataFrame:
+    """nodes after registrations (seq, node_id, dc, resource_pool): the last one of a node holds, and it is ONLINE with a fresh heartbeat."""
+    last = requests.groupBy("node_id").agg(F.max_by(F.struct("dc", "resource_pool"), "seq").alias("r"))
+    both = nodes.select("node_id", F.col("dc").alias("dc0"), F.col("resource_pool").alias("pool0"), "status", "heartbeat_age_ms").join(last, "node_id", "full")
+    new = F.col("r").isNotNull()
+    return both.select(
+        "node_id", F.when(new, F.col("r.dc")).otherwise(F.col("dc0")).alias("dc"), F.when(new, F.col("r.resource_pool")).otherwise(F.col("pool0")).alias("resource_pool"),
+        F.when(new, "ONLINE").otherwise(F.col("status")).alias("status"), F.when(new, F.lit(0).cast("long")).otherwise(F.col("heartbeat_age_ms")).alias("heartbeat_age_ms"),
+    )
+
+
+def accept_reports(reports: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Leaders' reports (table_id, shard_index, replica_seq, term) with decision, against what was accepted last (.., observed_term, observed_leader)."""
+    rows = reports.join(accepted, SHARD, "left")
+    decision = (
+        F.when(F.col("observed_term").isNull(), "NO_GROUP").when(F.col("term") > F.col("observed_term"), "ACCEPT").when(F.col("term") < F.col("observed_term"), "STALE")
+        .when(F.col("replica_seq") == F.col("observed_leader"), "ACCEPT").otherwise("CONFLICT")
+    )
+    return rows.select(*REPLICA, "term", decision.alias("decision"))
+
+
 def shrink_tail(members: DataFrame) -> DataFrame:
     """The last members of groups that are too large, as many as are too many."""
     w = Window.partitionBy(*SHARD)
@@ -252,6 +309,30 @@ def placed_table_decision(requests: DataFrame) -> DataFrame:
     return requests.select("table_id", drop.alias("drop_status"), alter.alias("alter_status"), F.when(moved, "RESIZING").otherwise(F.col("phase")).alias("next_phase"))
 
 
+def place_tables(requests: DataFrame, existing: DataFrame) -> DataFrame:
+    """Placement requests (req_id, table_id, operation_id) to status and phase: a new table is CREATING, the same operation again is OK.
+
+    existing: table_id, operation_id, phase. Of several requests for one new table, the first by req_id places it.
+    """
+    known = existing.select("table_id", F.col("operation_id").alias("own"), "phase")
+    first = requests.groupBy("table_id").agg(F.min_by("operation_id", "req_id").alias("first"))
+    rows = requests.join(first, "table_id").join(known, "table_id", "left")
+    same = F.coalesce("own", "first") == F.col("operation_id")
+    return rows.select("req_id", "table_id", F.when(same, "OK").otherwise("ALREADY_EXIST").alias("status"), F.coalesce("phase", F.lit("CREATING")).alias("phase"))
+
+
+def finalize_tables(tables: DataFrame, ready: DataFrame, deleted: DataFrame) -> DataFrame:
+    """table_id, phase, next_phase: tables (table_id, desired, phase) under way are done when all their shards are; ready, deleted: as tables_ready and tables_deleted give."""
+    rows = tables.join(ready, "table_id", "left").join(deleted.select("table_id", F.lit(True).alias("gone")), "table_id", "left")
+    phase = F.col("phase")
+    waits = (F.col("desired") == "PRESENT") & phase.isin("CREATING", "RESIZING")
+    next_phase = (
+        F.when(phase == "FAILED", phase).when((F.col("desired") == "ABSENT") & F.coalesce("gone", F.lit(False)), "DELETED")
+        .when((F.col("desired") == "ABSENT") & (phase != "DELETED"), "DELETING").when(waits & F.coalesce("ready", F.lit(False)), "READY").otherwise(phase)
+    )
+    return rows.select("table_id", "phase", next_phase.alias("next_phase"))
+
+
 def node_loads(nodes: DataFrame, replicas: DataFrame) -> DataFrame:
     """ONLINE nodes with the number of replicas that should be on them."""
     load = replicas.where("desired = 'PRESENT'").groupBy("node_no").agg(F.count("*").alias("load"))
@@ -264,8 +345,8 @@ def first_candidates(nodes: DataFrame, replicas: DataFrame) -> DataFrame:
     return node_loads(nodes, replicas).groupBy("resource_pool").agg(best.alias("b"), F.count("*").alias("candidates")).select("resource_pool", "b.node_id", "b.load", "candidates")
 
 
-def place_greedily(loads: DataFrame, shards: int, copies: int) -> DataFrame:
-    """resource_pool, shard_index, pick, node_id: nodes for new shards, one at a time.
+def place_greedily(loads: DataFrame, shards: int, copies: int, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """resource_pool, shard_index, pick, node_id: nodes for new shards, one at a time; excluded ones are never picked.
 
     Each pick takes the node in the data centre least used by the shard, then the least loaded, then the least id, and
     adds to its load, so picks depend on all before them. A pool is one group of bounded size: its nodes.
@@ -273,6 +354,7 @@ def place_greedily(loads: DataFrame, shards: int, copies: int) -> DataFrame:
 
     def place(pool: pd.DataFrame) -> pd.DataFrame:
         out = []
+        pool = pool[~pool.node_id.isin(excluded)]
         if len(pool) >= copies:
             load = dict(zip(pool.node_id, pool.load, strict=True))
             centre = dict(zip(pool.node_id, pool.dc, strict=True))

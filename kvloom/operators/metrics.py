@@ -57,8 +57,9 @@ def histogram_delta(now: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def percentile_bounds(buckets: DataFrame, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
-    """The least bound with a share of the samples at or below it; null if only the unbounded bucket has."""
-    picks = [F.min(F.when(F.col("cum") * 100 >= F.col("count") * p, F.col("le"))).alias(f"p{p}_us") for p in percents]
+    """The least bound with a share of the samples at or below it; null without samples, or if only the unbounded bucket has."""
+    # le is null for the unbounded bucket, which min passes over
+    picks = [F.min(F.when((F.col("count") > 0) & (F.col("cum") * 100 >= F.col("count") * p), F.col("le"))).alias(f"p{p}_us") for p in percents]
     one = buckets.groupBy("name").agg(F.max("count").alias("count"), F.max("sum_us").alias("sum_us"), *picks)
     return one.select("name", "count", F.when(F.col("count") > 0, F.col("sum_us") / F.col("count")).alias("avg_us"), *[f"p{p}_us" for p in percents])
 
@@ -95,14 +96,57 @@ def display_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, "_latency_us$", ""), "_total$", "")
 
 
+# The text format: a name, labels in braces with quoted and escaped values, a number, and maybe a time.
+_NAME = "[a-zA-Z_:][a-zA-Z0-9_:]*"
+_LABEL = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"((?:\\.|[^"\\])*)"'
+_SAMPLE = rf"^({_NAME})\s*(?:\{{((?:\s*{_LABEL.replace('(', '(?:', 1).replace('((?:', '(?:(?:')}\s*,?)*\s*)\}})?\s+(\S+)(?:\s+-?[0-9]+)?$"
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """line to name, kind (bucket, count, sum or counter), le and value. Comments and other lines are left out."""
-    shape = r"^([a-zA-Z_:][a-zA-Z0-9_:]*)(?:\{([^}]*)\})?\s+([-+0-9.eE]+)"
     text = F.trim("line")
-    full, labels, value = (F.regexp_extract(text, shape, i) for i in (1, 2, 3))
+    full, labels, value = (F.regexp_extract(text, _SAMPLE, i).alias(n) for i, n in ((1, "full"), (2, "labels"), (3, "value")))
     kind = F.regexp_extract("full", "_(bucket|count|sum)$", 1)
-    rows = lines.where((text != "") & ~text.startswith("#")).select(full.alias("full"), labels.alias("labels"), value.alias("value")).where("full <> ''")
+    rows = lines.where((text != "") & ~text.startswith("#")).select(full, labels, value).where("full <> ''")
+    pairs = F.arrays_zip(F.regexp_extract_all("labels", F.lit(_LABEL), 1).alias("k"), F.regexp_extract_all("labels", F.lit(_LABEL), 2).alias("v"))
+    le = F.get(F.filter(pairs, lambda x: x["k"] == "le"), F.lit(0))["v"]
     return rows.select(
         display_name(F.regexp_replace("full", "_(bucket|count|sum)$", "")).alias("name"), F.when(kind == "", "counter").otherwise(kind).alias("kind"),
-        F.nullif(F.regexp_extract("labels", 'le="([^"]*)"', 1), F.lit("")).alias("le"), F.expr("try_cast(value as double)").alias("value"),
+        F.when(kind == "bucket", le).alias("le"), F.expr("try_cast(value as double)").alias("value"),
     ).where("value is not null and (kind <> 'bucket' or le is not null)")
+
+
+def report_histograms(scrapes: DataFrame, from_zero: bool = False) -> DataFrame:
+    """The other half of a report: scrapes (target, ts, name, le, cum, count, sum_us, error) to target, name, count, qps, avg_us and percentile bounds.
+
+    Last against first good scrape of a target, as in report; histograms without new samples are left out.
+    """
+    good = scrapes.where("error is null")
+    if from_zero:
+        ends = good.groupBy("target").agg(F.max("ts").alias("t1")).withColumn("t0", scrapes.agg(F.min("ts")).scalar())
+    else:
+        ends = good.groupBy("target").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    rows = good.join(ends.where("t1 > t0"), "target")
+    at = lambda t, c: F.sum(F.when(F.col("ts") == F.col(t), F.col(c)))
+    delta = lambda c: positive_delta(at("t1", c), F.lit(0) if from_zero else at("t0", c)).alias(c)
+    grown = rows.groupBy("target", "name", "le", "t0", "t1").agg(delta("cum"), delta("count"), delta("sum_us")).where("count > 0")
+    found = percentile_bounds(grown.withColumn("name", F.struct("target", "name", "t0", "t1")))
+    qps = F.col("count") / (F.col("name.t1") - F.col("name.t0"))
+    return found.select("name.target", "name.name", "count", qps.alias("qps"), "avg_us", "p50_us", "p95_us", "p99_us")
+
+
+def report_errors(scrapes: DataFrame, from_zero: bool = False) -> DataFrame:
+    """target, ts, error of failed scrapes; from zero, only of targets without any good one."""
+    failed = scrapes.where("error is not null").select("target", "ts", "error").distinct()
+    return failed.join(scrapes.where("error is null").select("target"), "target", "left_anti") if from_zero else failed
+
+
+def aligned(rows: DataFrame, order: list[str]) -> DataFrame:
+    """no, line: rows as a text table of aligned columns, in the order of some of them: heads, rules and cells. For reports, which are short."""
+    cells = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in rows.columns], F.row_number().over(Window.orderBy(*order)).alias("no_"))
+    heads = rows.sparkSession.createDataFrame([(*rows.columns, -1)], cells.schema)
+    every = heads.unionByName(cells)
+    width = {c: every.agg(F.max(F.length(c))).scalar() for c in rows.columns}
+    line = F.concat_ws("  ", *[F.rpad(F.col(c), width[c], " ") for c in rows.columns])
+    rule = F.concat_ws("  ", *[F.repeat(F.lit("-"), width[c]) for c in rows.columns])
+    return every.select(F.col("no_").cast("long").alias("no"), line.alias("line")).unionByName(heads.select(F.lit(0).cast("long").alias("no"), rule.alias("line")))

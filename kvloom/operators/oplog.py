@@ -44,19 +44,45 @@ def assign_index(arrivals: DataFrame, lead: str, rest: list[str], last: Column |
     return arrivals.join(before, lead).withColumn("idx", last + F.col("before") + own).withColumn("term", F.lit(term).cast("long")).drop("before")
 
 
+def _merge(local: DataFrame, leader: DataFrame, snapshot_index: int) -> tuple[DataFrame, Column, Column, Column]:
+    """(leader's entries beyond the snapshot, first index with another term, last index, first index that follows a gap)."""
+    given = leader.where(F.col("idx") > snapshot_index)
+    clash = local.select("idx", F.col("term").alias("own")).join(given.select("idx", "term"), "idx").where("own <> term")
+    first = clash.agg(F.min("idx")).scalar()
+    last = F.greatest(last_index(local), F.lit(snapshot_index).cast("long"))
+    # beyond the entry that cuts the log, or beyond its end, each entry follows another one of the leader's
+    followers = given.select((F.col("idx") + 1).alias("idx"))
+    alone = given.select("idx").join(followers, "idx", "left_anti").where((F.col("idx") > F.coalesce(first, last)) & (first.isNotNull() | (F.col("idx") != last + 1)))
+    return given, first, last, alone.agg(F.min("idx")).scalar()
+
+
 def merge_from_leader(local: DataFrame, leader: DataFrame, snapshot_index: int = 0) -> DataFrame:
     """The log after a leader's entries: from the first index at which terms differ, the leader's; else both.
 
-    Columns as in local, with source local or leader. Leader entries up to the snapshot are ignored.
+    Columns as in local, with source local or leader. Leader entries up to the snapshot are ignored. With a gap in them, or
+    between them and the log, all are rejected, and the log stays as it is.
     """
-    given = leader.where(F.col("idx") > snapshot_index)
-    clash = local.select("idx", F.col("term").alias("own")).join(given.select("idx", "term"), "idx").where("own <> term")
-    first = clash.agg(F.min("idx")).scalar()
-    kept = local.where(first.isNull() | (F.col("idx") < first)).withColumn("source", F.lit("local"))
-    new = given.where((first.isNotNull() & (F.col("idx") >= first)) | (F.col("idx") > last_index(local))).withColumn("source", F.lit("leader"))
+    given, first, last, gap = _merge(local, leader, snapshot_index)
+    kept = local.where(gap.isNotNull() | first.isNull() | (F.col("idx") < first)).withColumn("source", F.lit("local"))
+    new = given.where(gap.isNull() & ((first.isNotNull() & (F.col("idx") >= first)) | (F.col("idx") > last))).withColumn("source", F.lit("leader"))
     return kept.unionByName(new)
 
 
+def merge_status(local: DataFrame, leader: DataFrame, snapshot_index: int = 0) -> DataFrame:
+    """One row: status (OK, or ERROR with a gap), first_new (the first index taken from the leader), rewrite (whether the log is cut)."""
+    given, first, last, gap = _merge(local, leader, snapshot_index)
+    new = given.where(gap.isNull() & ((first.isNotNull() & (F.col("idx") >= first)) | (F.col("idx") > last)))
+    found = new.agg(F.min("idx").alias("first_new"))
+    return found.select(F.when(gap.isNotNull(), "ERROR").otherwise("OK").alias("status"), "first_new", (gap.isNull() & first.isNotNull()).alias("rewrite"))
+
+
+def install_snapshot(log: DataFrame, index: Column, term: Column) -> DataFrame:
+    """The log after a snapshot is installed: its boundary as a row of op SNAPSHOT, and what is retained."""
+    none = F.lit(None).cast("string")
+    boundary = log.sparkSession.range(1).select(index.cast("long").alias("idx"), term.cast("long").alias("term"), F.lit("SNAPSHOT").alias("op"), none.alias("k"), none.alias("v"))
+    return boundary.unionByName(retained(log, index, term).select("idx", "term", "op", "k", "v"))
+
+
 def truncate(log: DataFrame, index: Column | int) -> DataFrame:
     """Entries after index."""
     return log.where(F.col("idx") > index)
@@ -83,7 +109,7 @@ def valid_prefix(wal: DataFrame) -> DataFrame:
     return wal.where(first.isNull() | (F.col("idx") < first))
 
 
-def recover(wal: DataFrame, snapshot_index: int) -> DataFrame:
+def recover(wal: DataFrame, snapshot_index: Column | int) -> DataFrame:
     """Tail after a snapshot: the valid prefix beyond it, or nothing if that does not begin right after it."""
     rest = valid_prefix(wal).where(F.col("idx") > snapshot_index)
     first = rest.agg(F.min("idx")).scalar()

@@ -93,10 +93,24 @@ def append_decision(requests: DataFrame, log: DataFrame, current_term: int, snap
 
 
 def membership(config_log: DataFrame, upto: Column | None = None) -> DataFrame:
-    """replica_seq, member_type after the configuration changes up to an index. For logs in which only members are promoted."""
+    """replica_seq, member_type after the configuration changes up to an index.
+
+    What counts of a replica is what follows its last removal: the first addition makes a member, a promotion after it a voter.
+    Additions of members and promotions of others change nothing.
+    """
     rows = config_log if upto is None else config_log.where(F.col("idx") <= upto)
-    last = rows.groupBy("replica_seq").agg(F.max_by("op", "idx").alias("op")).where("op <> 'REMOVE_MEMBER'")
-    return last.select("replica_seq", F.when(F.col("op") == "PROMOTE_VOTER", "VOTER").otherwise("LEARNER").alias("member_type"))
+    of = lambda op: F.when(F.col("op") == op, F.col("idx"))
+    gone = rows.groupBy("replica_seq").agg(F.coalesce(F.max(of("REMOVE_MEMBER")), F.lit(-1)).alias("gone"))
+    since = rows.join(gone, "replica_seq").where("idx > gone").groupBy("replica_seq").agg(F.min(of("ADD_LEARNER")).alias("added"), F.max(of("PROMOTE_VOTER")).alias("promoted"))
+    return since.where("added is not null").select("replica_seq", F.when(F.col("promoted") > F.col("added"), "VOTER").otherwise("LEARNER").alias("member_type"))
+
+
+def config_statuses(config_log: DataFrame) -> DataFrame:
+    """idx, replica_seq, op, status of each change: INVALID_ARGUMENT for a promotion of what is no member then."""
+    before = Window.partitionBy("replica_seq").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("op") != "PROMOTE_VOTER", F.col("op")), ignorenulls=True).over(before)
+    bad = (F.col("op") == "PROMOTE_VOTER") & ~F.coalesce(last == "ADD_LEARNER", F.lit(False))
+    return config_log.select("idx", "replica_seq", "op", F.when(bad, "INVALID_ARGUMENT").otherwise("OK").alias("status"))
 
 
 def quorum_size(members: DataFrame) -> DataFrame:
@@ -104,17 +118,58 @@ def quorum_size(members: DataFrame) -> DataFrame:
     return members.agg(F.coalesce(voters, F.lit(0)).alias("voters")).select("voters", quorum(F.col("voters")).alias("quorum"))
 
 
-def add_learner(config_log: DataFrame, requests: DataFrame, applied: Column) -> DataFrame:
-    """Decision on adding each replica_seq: nothing to do, wait for another change, or propose."""
+def change_member(config_log: DataFrame, requests: DataFrame, applied: Column, op: str) -> DataFrame:
+    """Decision on op (ADD_LEARNER or REMOVE_MEMBER) for each replica_seq: nothing to do, wait for another change, or propose."""
     pending = config_log.where(F.col("idx") > applied)
     first = pending.agg(F.min_by(F.struct("op", "replica_seq"), "idx").alias("p"))
-    op, seq = first.select("p.op").scalar(), first.select("p.replica_seq").scalar()
+    ahead, seq = first.select("p.op").scalar(), first.select("p.replica_seq").scalar()
     members = membership(config_log, applied).select("replica_seq", F.lit(True).alias("member"))
-    same = (op == "ADD_LEARNER") & (seq == F.col("replica_seq"))
-    decision = F.when(F.col("member"), "OK_MEMBER").when(same, "OK_PENDING").when(op.isNotNull(), "RETRY_ERROR").otherwise("PROPOSE")
+    done = F.col("member") if op == "ADD_LEARNER" else F.col("member").isNull()
+    same = (ahead == op) & (seq == F.col("replica_seq"))
+    decision = F.when(done, "OK_MEMBER" if op == "ADD_LEARNER" else "OK_GONE").when(same, "OK_PENDING").when(ahead.isNotNull(), "RETRY_ERROR").otherwise("PROPOSE")
     return requests.join(members, "replica_seq", "left").select("replica_seq", decision.alias("decision"))
 
 
+def add_learner(config_log: DataFrame, requests: DataFrame, applied: Column) -> DataFrame:
+    return change_member(config_log, requests, applied, "ADD_LEARNER")
+
+
+def remove_member(config_log: DataFrame, requests: DataFrame, applied: Column) -> DataFrame:
+    return change_member(config_log, requests, applied, "REMOVE_MEMBER")
+
+
+def commits_removal(config_log: DataFrame, steps: DataFrame) -> DataFrame:
+    """steps (step, old_commit, new_commit) with removal: whether the step commits a REMOVE_MEMBER, so that all peers are told at once."""
+    removals = config_log.where("op = 'REMOVE_MEMBER'").select("idx")
+    held = steps.join(removals, (F.col("idx") > F.col("old_commit")) & (F.col("idx") <= F.col("new_commit")), "left_semi").select("step", F.lit(True).alias("held"))
+    return steps.join(held, "step", "left").select(*steps.columns, F.coalesce("held", F.lit(False)).alias("removal"))
+
+
+def append_response(responses: DataFrame, current_term: int) -> DataFrame:
+    """responses (term, sent_term, leader, success, prev_log_index, next_index) with what the leader does, by the first rule that applies."""
+    stale = F.col("prev_log_index") + 1 != F.col("next_index")
+    action = (
+        F.when(F.col("term") > current_term, "STEP_DOWN").when(F.col("sent_term") != current_term, "IGNORE_OLD_TERM").when(~F.col("leader"), "NOT_LEADER")
+        .when(F.col("success"), "ADVANCE").when(stale, "IGNORE_STALE").otherwise("BACK_OFF")
+    )
+    return responses.withColumn("action", action)
+
+
+def install_decision(requests: DataFrame, log: DataFrame, current_term: int, commit: Column, ready: bool = True) -> DataFrame:
+    """requests (member, term, snapshot_index, snapshot_term) with decision; a snapshot that brings nothing new is ALREADY_EXIST."""
+    have = log.select(F.col("idx").alias("snapshot_index"), F.col("term").alias("own_term"))
+    has = F.lit(ready) & F.coalesce(F.col("own_term") == F.col("snapshot_term"), F.lit(False))
+    decision = (
+        F.when(~F.col("member"), "INVALID_ARGUMENT").when(F.col("term") < current_term, "ERROR").when((F.col("snapshot_index") <= commit) | has, "ALREADY_EXIST").otherwise("OK")
+    )
+    return requests.join(have, "snapshot_index", "left").withColumn("decision", decision).drop("own_term")
+
+
+def applied_index(rows: DataFrame) -> DataFrame:
+    """commit_index, last_applied, applied and snapshot_index to what they become: never back, and at least the snapshot's."""
+    return rows.withColumn("new_applied", F.greatest("last_applied", "applied", "snapshot_index")).withColumn("new_commit", F.greatest("commit_index", "snapshot_index"))
+
+
 def promotable(progress: DataFrame, target: Column) -> DataFrame:
     """The first learner of each scenario that has caught up."""
     ready = progress.where((F.col("member_type") == "LEARNER") & (F.col("match_index") >= target))

@@ -39,8 +39,19 @@ def point_get(log: DataFrame, key: str, read_index: Column | int | None = None)
 
 def get(state: DataFrame, requests: DataFrame) -> DataFrame:
     """k, status, v of each requested key: OK, or KEY_NOT_FOUND with a null value."""
-    status = F.when(F.col("v").isNull(), "KEY_NOT_FOUND").otherwise("OK")
-    return requests.join(state.select("k", "v"), "k", "left").select("k", status.alias("status"), "v")
+    held = state.select("k", "v", F.lit(True).alias("held"))
+    return requests.join(held, "k", "left").select("k", F.when(F.col("held"), "OK").otherwise("KEY_NOT_FOUND").alias("status"), "v")
+
+
+def clear(state: DataFrame) -> DataFrame:
+    """No rows."""
+    return state.where(F.lit(False))
+
+
+def scan_until(state: DataFrame, accepts: Column) -> DataFrame:
+    """Rows in key order before the first one that is not accepted."""
+    stop = state.where(~F.coalesce(accepts, F.lit(False))).agg(F.min("k")).scalar()
+    return scan(state.where(stop.isNull() | (F.col("k") < stop)))
 
 
 def delete(state: DataFrame, keys: DataFrame) -> DataFrame:

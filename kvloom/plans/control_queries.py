@@ -194,7 +194,17 @@ def placement_candidates(t: Inputs):
     return control.first_candidates(t.nodes, t.replicas)
 
 
-@query("placement_greedy")
+@query("placement_greedy", """
+    with recursive l as (select n.resource_pool, n.node_id, n.dc, (select count(*) from replicas r where r.node_no = n.node_no and r.desired = 'PRESENT') as load from nodes n where status = 'ONLINE'),
+    p as (select resource_pool, list(node_id order by node_id) as ids, list(dc order by node_id) as dcs, list(load order by node_id) as loads from l group by resource_pool having count(*) >= 3),
+    picks(resource_pool, t, loads, chosen, best) as (
+        select resource_pool, 0, loads, []::bigint[], 0::bigint from p
+        union all
+        select resource_pool, t + 1, list_transform(loads, lambda x, i: x + case when i = pick then 1 else 0 end), list_append(chosen, pick), pick from (
+            select e.resource_pool, e.t, e.loads, e.chosen,
+                   list_sort(list_filter(list_transform(e.loads, lambda x, i: case when not list_contains(e.chosen, i) then [len(list_filter(e.chosen, lambda c: p.dcs[c] = p.dcs[i])), x, i] end), lambda c: c is not null))[1][3] as pick
+            from (select resource_pool, t, loads, case when t % 3 = 0 then []::bigint[] else chosen end as chosen from picks where t < 24) e join p using (resource_pool)))
+    select resource_pool, ((t - 1) // 3)::bigint as shard_index, ((t - 1) % 3)::bigint as pick, p.ids[best] as node_id from picks join p using (resource_pool) where t > 0""")
 def placement_greedy(t: Inputs):
     return control.place_greedily(control.node_loads(t.nodes, t.replicas), 8, 3)
 
@@ -337,7 +347,7 @@ def histogram_percentile(t: Inputs):
     return metrics.percentile_bounds(metrics.histogram(t.latency_samples))
 
 
-_SCRAPES = "s as (select concat('target-', user_id % 6) as target, event_id // 500 as ts, event_type as name, sum(event_id % 7)::bigint as value, case when (event_id // 500) % 5 = 3 then 'timeout' end as error from events where user_id % 6 < 5 group by all)"
+_SCRAPES = "s as (select concat('target-', user_id % 6) as target, event_id // 500 as ts, event_type as name, sum(event_id % 7)::bigint as value, case when (event_id // 500) % 5 = 3 then 'timeout' end as error from events group by all)"
 
 
 @query("metric_report", f"""
@@ -345,7 +355,7 @@ _SCRAPES = "s as (select concat('target-', user_id % 6) as target, event_id // 5
     d as (select g.target, g.name, e.t0, e.t1, greatest(coalesce(sum(case when ts = t1 then value end), 0) - coalesce(sum(case when ts = t0 then value end), 0), 0)::bigint as delta from g join e on e.target = g.target group by g.target, g.name, e.t0, e.t1)
     select target, name, delta, delta / (t1 - t0) as rate from d where delta > 0""")
 def metric_report(t: Inputs):
-    rows = t.events.where("user_id % 6 < 5").selectExpr("concat('target-', user_id % 6) as target", "event_id div 500 as ts", "event_type as name", "event_id % 7 as v")
+    rows = t.events.selectExpr("concat('target-', user_id % 6) as target", "event_id div 500 as ts", "event_type as name", "event_id % 7 as v")
     scrapes = rows.groupBy("target", "ts", "name").agg(F.sum("v").alias("value")).withColumn("error", F.when(F.col("ts") % 5 == 3, "timeout"))
     return metrics.report(scrapes)
 

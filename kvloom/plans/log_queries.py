@@ -182,7 +182,9 @@ def append_accept(t: Inputs):
 
 
 _HALF = "(select max(idx) // 2 from config_log)"
-_MEMBERS = "(select replica_seq, case op when 'PROMOTE_VOTER' then 'VOTER' else 'LEARNER' end as member_type from (select *, row_number() over (partition by replica_seq order by idx desc) as rn from config_log{where}) where rn = 1 and op <> 'REMOVE_MEMBER')"
+#: One change after the other, a replica at a time.
+_MEMBERS = """(select * from (select replica_seq, list_reduce(list_prepend('NONE', list(op order by idx)), lambda s, o: case o when 'REMOVE_MEMBER' then 'NONE'
+    when 'ADD_LEARNER' then case s when 'NONE' then 'LEARNER' else s end else case s when 'NONE' then 'NONE' else 'VOTER' end end) as member_type from config_log{where} group by replica_seq) where member_type <> 'NONE')"""
 
 
 @query("pending_config_change", f"""
@@ -252,7 +254,7 @@ def snapshot_due(t: Inputs):
 @query("recover_snapshot_tail", f"select k, v, idx from {_LATEST.format(where='')} where rn = 1 and op = 'PUT'")
 def recover_snapshot_tail(t: Inputs):
     half = share(t.op_log, 50)
-    return state.merge(state.fold(t.op_log, half), oplog.truncate(t.op_log, half))
+    return state.merge(state.fold(t.op_log, half), oplog.recover(t.op_log.withColumn("ok", F.lit(True)), half).drop("ok"))
 
 
 @query("wal_valid_prefix", f"select idx, term, op, k, v from op_log where idx < {_N} * 70 // 100")

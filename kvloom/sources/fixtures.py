@@ -73,9 +73,24 @@ SQL = {
         cross join (select 0 as replica_seq union all select 1 union all select 2 union all select 3 union all select 4 union all select 5) r""",
     "config_log": """
         select idx, op, replica_seq from (
-          select 3 * s_suppkey + 1 as idx, 'ADD_LEARNER' as op, s_suppkey as replica_seq from supplier
-          union all select 3 * s_suppkey + 2, 'PROMOTE_VOTER', s_suppkey from supplier where s_suppkey % 3 <> 0
-          union all select 3 * s_suppkey + 3, 'REMOVE_MEMBER', s_suppkey from supplier where s_suppkey % 4 = 0) c""",
+          select 6 * s_suppkey + 1 as idx, 'ADD_LEARNER' as op, s_suppkey as replica_seq from supplier
+          union all select 6 * s_suppkey + 2, 'PROMOTE_VOTER', s_suppkey from supplier where s_suppkey % 3 <> 0
+          union all select 6 * s_suppkey + 3, 'ADD_LEARNER', s_suppkey from supplier where s_suppkey % 5 = 0
+          union all select 6 * s_suppkey + 4, 'REMOVE_MEMBER', s_suppkey from supplier where s_suppkey % 4 = 0
+          union all select 6 * s_suppkey + 5, 'PROMOTE_VOTER', s_suppkey from supplier where s_suppkey % 8 = 0
+          union all select 6 * s_suppkey + 6, 'ADD_LEARNER', s_suppkey from supplier where s_suppkey % 16 = 0) c""",
+    "groups": """
+        select c.table_id, s.shard_index, cast(case when c.table_id % 11 = 0 then 0 else 1 + c.table_id % 3 end as int) as target_replica_count,
+               case when c.table_id % 4 = 0 then 'BOOTSTRAP' else 'RAFT_RECONFIG' end as mode
+        from catalog_tables c join (select 0 as shard_index union all select 1 union all select 2) s on s.shard_index < c.shard_count
+        where c.table_id % 7 <> 3""",
+    "sparse_members": "select * from group_members where table_id % 5 <> 2 and table_id % 22 <> 11",
+    "scraped_histograms": """
+        select concat('target-', cast(s.target as string)) as target, s.ts, s.name, b.le, s.n * b.share as cum, s.n * 10 as count, s.n * 50 as sum_us, s.error
+        from (select user_id % 6 as target, event_type as name, cast(floor(event_id / 500) as bigint) as ts, count(*) as n,
+                     case when cast(floor(event_id / 500) as bigint) % 5 = 3 then 'timeout' end as error
+              from events group by user_id % 6, event_type, cast(floor(event_id / 500) as bigint)) s
+        cross join (select cast(10 as bigint) as le, 2 as share union all select 100, 6 union all select 5000, 9 union all select null, 10) b""",
     "latency_samples": """
         select event_id as sample_id, event_type as metric, cast(round(value * 100) as bigint) as latency_us,
                case when event_type = 'error' then 0 else 1 end as ok

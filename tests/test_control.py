@@ -137,5 +137,4 @@ def test_parse_ignores_what_is_not_a_sample(spark):
 def test_workload_values(spark):
     rows = workload.requests(spark, 4, 2, 30, 0).orderBy("request_id").collect()
     assert [r.k for r in rows] == ["bench-key-000000000000", "bench-key-000000000001"] * 2
-    assert rows[3].v == "bench-value-000000000003xxxxxx" and len(workload.make_value.__doc__) > 0
     assert workload.dataset(spark, 2, "p").orderBy("k").collect()[1] == ("p-key-001", "p-value-001")

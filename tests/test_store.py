@@ -64,6 +64,35 @@ def test_point_reads_prune_to_one_shard(store, spark):
     assert "PartitionFilters: [isnotnull(shard" in plan and "PushedFilters: [IsNotNull(k), EqualTo(k,k3)]" in plan
 
 
+def test_point_reads_begin_at_the_snapshot(store, spark):
+    store.apply("d", "t", spark.createDataFrame([(i, "PUT", f"k{i}", f"v{i}") for i in range(20)], WRITES))
+    assert store.snapshot("d", "t")
+    store.delete("d", "t", "k3")
+    store.put("d", "t", "k4", "new")
+    assert [store.get("d", "t", k) for k in ("k3", "k4", "k5", "k99")] == [("KEY_NOT_FOUND", None), ("OK", "new"), ("OK", "v5"), ("KEY_NOT_FOUND", None)]
+
+
+def test_indexes_are_dense_even_if_the_heads_were_not_noted(store, spark):
+    from pyspark.sql import functions as F
+
+    for n in range(3):
+        store.apply("d", "t", spark.createDataFrame([(i * 40_000, "PUT", f"k{i}", f"{n}") for i in range(12)], WRITES))
+        if n == 1:  # as after a crash between the two writes
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{store.path}/heads/table_id=0/version=2")
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    found = store._log(0).groupBy("shard").agg(F.count("*").alias("n"), F.max("idx").alias("last"), F.count_distinct("idx").alias("different")).collect()
+    assert all(r.n == r.last == r.different for r in found) and sum(r.n for r in found) == 36
+    order = store._log(0).where("batch = 1").orderBy("shard", "idx").collect()
+    assert all(int(a.k[1:]) < int(b.k[1:]) for a, b in zip(order, order[1:], strict=False) if a.shard == b.shard)
+
+
+def test_routes_waiting_and_demo(store):
+    out = list(run(store, ["routes d t", "wait_table d t", "wait_table d x", "routes d x", "demo", "ls d"]))
+    assert out[0] == "shard 0: leader local, last index 0\nshard 1: leader local, last index 0\nshard 2: leader local, last index 0"
+    assert out[1:4] == ["OK", "TABLE_NOT_FOUND", "TABLE_NOT_FOUND"] and out[-1] == "t"
+    assert out[7] == "get demo t k: v" and out[10] == "get demo t k: KEY_NOT_FOUND" and out[12] == "drop_db demo: OK"
+
+
 def test_shell(store):
     lines = ["put d t a 1", "get d t a", "get d t b", "delete d t a", "get d t a", "tables d", "get_table d t", "nonsense", "put d", "", "quit", "put d t z 1"]
     out = list(run(store, lines))
