@@ -90,12 +90,12 @@ def grace(records: Iterator[tuple], memory_bytes: int, fanout_bits: int = 4, lev
             if files is None:
                 e, new = table.find(h, content)
                 if new:
-                    table.values[e] = [count, rank, entries]
+                    table.values[e] = [count, rank, list(entries)]
                 else:
                     v = table.values[e]
                     v[0] += count
                     v[1] = min(v[1], rank)
-                    v[2] = v[2] + entries
+                    v[2].extend(entries)
                 table.bytes += 16 * len(entries)
                 if table.bytes > memory_bytes and shift >= 0 and len(table.hashes) > 1:
                     folder = tempfile.TemporaryDirectory(prefix="grace-")
