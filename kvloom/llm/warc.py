@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_groups, materialize
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
@@ -47,8 +47,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("n", F.octet_length("payload").cast("long"))
-    largest = rows.groupBy("sha", "n").agg(F.max("id").alias("top"))
-    rows = rows.join(largest.hint("merge"), ["sha", "n"])
+    # a payload that very many pages share, an empty one for instance, does not meet in one task
+    largest = materialize(rows.groupBy("sha", "n").agg(F.max("id").alias("top"), F.count("*").alias("size")), "warc-payloads")
+    rows = join_groups(rows, largest.hint("merge"), ["sha", "n"], "size", "inner")
     revisit = (F.col("n") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("top"))
     name = lambda c: F.concat(F.lit("<urn:kvloom:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
