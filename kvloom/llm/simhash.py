@@ -6,7 +6,8 @@ within r bits. A search walks from member to member over those not yet reached,
 forest, never all pairs. Larger files are dealt as pairs of chunks, so no task holds a whole one. Components of the links
 join the documents.
 
-Null and empty texts have fingerprint zero and are linked like any other. Extra columns are never looked at. An empty
+Null and empty texts have fingerprint zero and are linked like any other. Repeated rows are rows of their own, and long texts
+count whole. Extra columns are never looked at. An empty
 table gives an empty result. The smallest id names a component; null ids count only where there is no other.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import binary_parts, materialize, small_batches
+from .common import binary_parts, join_groups, materialize, small_batches
 from .components import components
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -165,13 +166,13 @@ def linked(members: DataFrame, find: Callable) -> DataFrame:
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, blocks: int = 6, chunk: int = 8192) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("size")), "nodes")
     masks = block_masks(64, blocks, distance)
     keyed = nodes.select(F.col("fp").alias("node"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("t", "key"))
     members = shared_files(keyed, chunk).withColumn("fp", F.col("node"))
     edges = linked(members, hamming(distance))
     label = F.coalesce(F.col("label"), F.col("fp"))
-    named = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", label.alias("label"))
+    named = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", "size", label.alias("label"))
     lows = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    of_fp = named.join(lows, "label").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = materialize(named.join(lows, "label").select("fp", "component_id", "size"), "named")
+    return join_groups(fps, of_fp, ["fp"], "size", "inner").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
