@@ -15,12 +15,12 @@ windows are the suffixes of the corpus cut at that depth, and the nodes of depth
 4. Blocks get the smallest ids back and mark the words.
 
 Ids are integers. Null texts have no words. A null id counts as larger than any other; rows with the same id do not
-repeat each other. Extra columns are never looked at. An empty table gives an empty result.
+repeat each other. Long texts count whole. Extra columns are never looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,23 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, binary_parts, materialize, mix64, new_path, row_chunks, small_batches, span_hashes, word_spans
+from .blocks import pack, unpack
+from .common import CHUNK_BYTES, binary_parts, bucketed, materialize, mix64, row_chunks, small_batches, span_hashes, word_spans
 
 ANCHOR = 5
+PART_BYTES = 4 << 20  # text to a part, about
 NO_ID = np.iinfo(np.int64).max
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Longs, compressed byte plane by byte plane."""
-    return zstandard.compress(np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view("<i8")
-
-
 class Block:
     """The words of a block of documents, and its segments: runs of windows with one anchor."""
 
@@ -89,9 +81,9 @@ class Block:
             found[a:b] |= np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=b - a).astype(bool)
         return found[self._which]
 
-    def contents(self, chosen: np.ndarray, window: int, parts: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    def contents(self, chosen: np.ndarray, window: int, parts: int) -> tuple[dict[int, list[bytes]], np.ndarray, np.ndarray]:
         """Different segments by part; of each chosen segment, its part and its place there."""
-        out: list[dict[bytes, int]] = [{} for _ in range(parts)]
+        out: dict[int, dict[bytes, int]] = defaultdict(dict)
         bounds = (np.arange(1, parts + 1, dtype=object) * (1 << 47) // parts).astype(np.int64)
         part = np.searchsorted(bounds, self.keys[chosen], side="right")
         place = np.empty(len(chosen), np.int64)
@@ -100,7 +92,7 @@ class Block:
         for i, (s, e, p) in enumerate(zip(a, b, part.tolist(), strict=True)):
             own = out[p]
             place[i] = own.setdefault(b" ".join(self.body[s:e].split()), len(own))
-        return [list(x) for x in out], part, place
+        return {p: list(x) for p, x in out.items()}, part, place
 
 
 def _segments(hashes: np.ndarray, firsts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,11 +195,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, bucke
         if ids:
             yield row()
 
-    spark = docs.sparkSession
-    name, path = f"kvloom_blocks_{uuid.uuid4().hex}", new_path(spark, "blocks")
-    made = rows.mapInArrow(run, "block long, ids array<long>, ends array<long>, body binary")
-    made.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows.mapInArrow(run, "block long, ids array<long>, ends array<long>, body binary"), "block", buckets, "blocks")
 
 
 def _each(batches) -> Iterator[tuple]:
@@ -226,14 +214,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         raise ValueError(f"window must be {ANCHOR} words or more")
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(4 * buckets, 1 << 14)
     blocks = _blocks(docs, id_col, text_col, block_bytes, buckets)
+    # parts grow with the text, so that none outgrows a task
+    parts = max(4 * buckets, int(blocks.agg(F.coalesce(F.sum(F.element_at("ends", -1)), F.lit(0))).first()[0]) // PART_BYTES)
 
     def send_anchors(batches):
         for number, ends, body in _each(batches):
             block = _block(ends, body, window)
             cuts = block.cuts(parts)
-            out = [(p, pack(np.diff(block.anchors[cuts[p] : cuts[p + 1]], prepend=0))) for p in range(parts) if cuts[p] < cuts[p + 1]]
+            out = [(p, pack(np.diff(block.anchors[cuts[p] : cuts[p + 1]], prepend=0))) for p in np.flatnonzero(np.diff(cuts)).tolist()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([number.as_py()] * len(out), pa.int64()), pa.array([b for _, b in out], pa.binary())], names=["part", "block", "blob"])
 
