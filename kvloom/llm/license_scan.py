@@ -6,7 +6,9 @@ and s must be at least b t / (2 - t). Places are therefore only looked for where
 within the larger bound; most templates are given up for most texts without a comparison.
 
 Of overlapping places the one with the largest Dice stays, then the longer, then the first, then the first license by
-name. Null and empty texts match nothing; rows with the same id are scanned each for itself. Extra columns do not matter.
+name. Hashes of bigrams find the places; the coefficient that counts is that of the words. Null and empty texts match
+nothing; rows with the same id and repeated rows are scanned each for itself, long texts whole. Extra columns do not matter.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import binary_parts, mix64, row_chunks, small_batches, span_hashes, word_spans
 
-#: Notices that name a license, and one short license whole.
+#: Notices that name a license, and the wording of short licenses.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": (
@@ -32,6 +35,12 @@ TEMPLATES = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
     ),
     "bsd-3-clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "bsd-2-clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution."
+    ),
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
@@ -42,11 +51,20 @@ TEMPLATES = {
         "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
     "mit": "Released under the MIT License.",
+    "isc-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."
+    ),
     "mit-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, "
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
-        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+        "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
@@ -67,7 +85,7 @@ def words_of(text: str) -> list[str]:
     return re.sub(r"[^0-9a-z\x80-\U0010FFFF]+", " ", re.sub(r"[A-Z]", lambda m: m[0].lower(), text.translate({ord(c): " " for c in _MARKS}))).split()
 
 
-def dice(a: list[str], b: list[str]) -> float:
+def dice(a: list, b: list) -> float:
     """Over the bigrams of two word lists."""
     x, y = Counter(zip(a, a[1:], strict=False)), Counter(zip(b, b[1:], strict=False))
     n = x.total() + y.total()
@@ -88,10 +106,12 @@ class Scanner:
     def __init__(self, templates: dict[str, str], threshold: float) -> None:
         self.threshold = threshold
         self.templates: list[_Template] = []
+        self.words: dict[str, list[bytes]] = {}
         for name, text in sorted(templates.items()):
             data = " ".join(words_of(text)).encode()
             _, hashes = _bigrams(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
             b = len(hashes)
+            self.words[name] = data.split()
             if b:
                 # rounding must not lose a bound that is met exactly
                 low, high = math.ceil(b * threshold / (2 - threshold) - 1e-9), math.floor(b * (2 - threshold) / threshold + 1e-9)
@@ -156,6 +176,15 @@ def _bigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return firsts, mix64(h[:-1] * _STEP + h[1:])
 
 
+def verified(scanner: Scanner, buf: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, str, float, int, int]]:
+    """What the scanner finds by hashes, with the Dice coefficient of the words themselves."""
+    for row, name, _, first, end in scanner.scan(buf, offsets):
+        words = _PLAIN[buf[offsets[row] : offsets[row + 1]]].tobytes().split()[first:end]
+        d = dice(words, scanner.words[name])
+        if d >= scanner.threshold - 1e-12:
+            yield row, name, d, first, end
+
+
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row per match: id, license, dice, first_word, end_word."""
     small_batches(docs.sparkSession)
@@ -166,7 +195,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, id
         for batch in batches:
             buf, off = binary_parts(batch.column(1))
             for a, z in row_chunks(off):
-                hits = shared.value.scan(buf[off[a] : off[z]], off[a : z + 1] - off[a])
+                hits = list(verified(shared.value, buf[off[a] : off[z]], off[a : z + 1] - off[a]))
                 if hits:
                     c = list(zip(*hits, strict=True))
                     yield pa.RecordBatch.from_arrays(
