@@ -52,7 +52,7 @@ _PERIOD = """
 """
 
 
-def _tickets(docs: DataFrame, source_col: str, targets: DataFrame | None, alpha: float, resolution: int, block_docs: int, max_sources: int) -> DataFrame | None:
+def _tickets(docs: DataFrame, source_col: str, targets: DataFrame | None, alpha: float, resolution: int, block_docs: int) -> DataFrame | None:
     """src, n, tickets, periods of each source."""
     counts = docs.groupBy(_source(source_col).alias("src")).agg(F.count("*").alias("n"))
     if targets is None:
@@ -63,8 +63,6 @@ def _tickets(docs: DataFrame, source_col: str, targets: DataFrame | None, alpha:
     number, total = weighed.agg(F.count("*"), F.sum("w")).first()
     if not number:
         return None
-    if number > max_sources:
-        raise ValueError(f"{number} sources; at most {max_sources} can be mixed, as their tickets are worked out together")
     tickets = F.greatest(F.lit(1), F.round(F.col("w") * resolution / F.lit(float(total) or 1.0))).cast("long")
     return weighed.select("src", "n", "w", tickets.alias("tickets")).withColumn("periods", F.expr(f"(n + tickets * {block_docs} - 1) div (tickets * {block_docs})"))
 
@@ -137,9 +135,11 @@ def mixed(
 ) -> DataFrame:
     """docs with mix_block (of its source), mix_slot (of all blocks) and mix_place (in the block).
 
-    targets: (source, weight); without it, weights are the number of documents to the power alpha.
+    targets: (source, weight); without it, weights are the number of documents to the power alpha. More than max_sources
+    sources have no tickets. Columns of docs that have the names of the new ones are replaced.
     """
-    sources = _tickets(docs, source_col, targets, alpha, resolution, block_docs, max_sources)
+    docs = docs.drop("mix_block", "mix_slot", "mix_place")
+    sources = _tickets(docs, source_col, targets, alpha, resolution, block_docs)
     if sources is None:
         return docs.select("*", *[F.lit(None).cast("long").alias(c) for c in ("mix_block", "mix_slot", "mix_place")])
     total = docs.count()
@@ -157,7 +157,7 @@ def mixed(
     w, n, tickets, periods = (np.array([r[c] for r in every]) for c in ("w", "n", "tickets", "periods"))
     none = ~(w > 0)
     w = np.where(none, (w[~none].sum() or 1.0) / resolution / max(1, none.sum()), w)
-    if _off(w, tickets, periods) >= 1:
+    if len(every) > max_sources or _off(w, tickets, periods) >= 1:
         blocks = -(-n // block_docs)
         source, number = _exact(w, blocks)
         names = np.array([r.src for r in every], dtype=object)

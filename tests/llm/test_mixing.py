@@ -31,7 +31,7 @@ def test_every_row_has_its_own_place(spark, sizes):
 @pytest.mark.parametrize("sizes", SIZES)
 def test_deviation_is_less_than_a_block(spark, sizes):
     """Within each run of periods, after any number of slots, a source has its share of slots to within one."""
-    sources = mixing._tickets(docs_of(spark, sizes), "source", None, 0.5, 20, 4, 100)
+    sources = mixing._tickets(docs_of(spark, sizes), "source", None, 0.5, 20, 4)
     slots, runs = {}, {}
     for r in mixing._slots(sources).collect():
         for run in r.runs:
@@ -72,8 +72,9 @@ def test_nulls_repeats_clashes_empty_and_limits(spark):
     assert out.columns == ["doc_id", "source", "rank", "mix_block", "mix_slot", "mix_place"]
     assert out.count() == 5 and out.where("mix_slot is null").count() == 0
     assert mixing.mixed(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError, match="sources"):
-        mixing.mixed(docs, max_sources=2)
+    many = mixing.mixed(docs.withColumnRenamed("rank", "mix_slot"), max_sources=2)
+    assert many.columns == ["doc_id", "source", "mix_block", "mix_slot", "mix_place"]
+    assert sorted({r.mix_slot for r in many.collect()}) == [0, 1, 2]
 
 
 def deviation(w, source, until):
