@@ -10,8 +10,9 @@ beginnings that set apart the toxic rows, by log-odds, each toxic row being cove
 the clause scores gives the score. Only texts and labels of training rows are used, and of them a sample of at most
 `per_class` rows a class, picked by a hash of the id.
 
-Null texts score like empty ones. Rows without labels, null labels and extra columns do not matter; a document labelled
-more than once counts once for each label. Without both classes in training, scores come from the fixed words alone.
+Null texts score like empty ones; long texts count whole; repeated rows and ties score alike. Rows without labels, null
+labels and extra columns do not matter; a document labelled more than once counts once for each label. An empty table
+stays empty. Without both classes in training, scores come from the fixed words alone.
 """
 
 from __future__ import annotations
@@ -27,13 +28,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import fresh, materialize, small_batches
 
 INSULTS = "idiot moron stupid loser clown scum trash pathetic worthless disgusting imbecile vermin".split()
-THREATS = "kill hurt destroy beat burn shoot stab strangle punch crush".split()
-TARGETS = "you your yours u he she they them him her his their these those this that such".split()
-NEGATIONS = "not no never isn't aren't wasn't don't doesn't didn't neither nor without hardly".split()
-REPORTS = "said says say claimed claims wrote writes reported reports quoted quotes called according alleged".split()
+#: Of English, German, French and Spanish, a line each.
+THREATS = """kill hurt destroy beat burn shoot stab strangle punch crush
+    töten töte umbringen erschlagen schlagen vernichten zerstören verprügeln erschießen erwürgen
+    tuer tuerai frapper détruire brûler étrangler poignarder écraser
+    matar mataré golpear destruir quemar apuñalar estrangular aplastar""".split()
+TARGETS = """you your yours u he she they them him her his their these those this that such
+    du dich dir dein deine deinen deinem deiner ihr euch euer eure er sie ihn ihm ihnen diese dieser dieses solche
+    tu te toi ton ta tes vous votre vos il elle ils elles lui leur leurs cet cette ces
+    tú ti tus usted ustedes vosotros vuestro él ella ellos ellas su sus ese esa esos esas este esta estos""".split()
+NEGATIONS = """not no never isn't aren't wasn't don't doesn't didn't neither nor without hardly
+    nicht kein keine keinen keinem keiner nie niemals weder ohne kaum
+    pas jamais aucun aucune sans guère
+    nunca jamás ningún ninguna ninguno tampoco sin""".split()
+REPORTS = """said says say claimed claims wrote writes reported reports quoted quotes called according alleged
+    sagte sagt sagten behauptete behauptet schrieb schreibt berichtete berichtet zitierte nannte laut angeblich
+    dit disait affirme affirmait écrit écrivait rapporte selon cite prétend
+    dijo dice dijeron afirma afirmó escribió escribe informó según citó""".split()
 _FIXED = {w: s for s, ws in (("h", THREATS), ("t", TARGETS), ("n", NEGATIONS), ("r", REPORTS)) for w in ws}
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -179,7 +193,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 5000, max_terms: int = 400, cover: int = 3, candidates: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 5000, cover: int = 3) -> Model:
     """Learn from at most per_class labelled rows of either class. labels: training rows only."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"))
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -199,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 found.update(_doc_terms(t))
-        items = [(t, n) for t, n in found.items() if n > 1] + [(t, n) for t, n in found.items() if n == 1 and len(t) < 16]
+        items = list(found.items())
         for i in range(0, len(items), 50_000):
             part = items[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], names=["term", "n"])
@@ -210,8 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return fallback
     least = max(3, round(0.004 * n_sample[1]))
     counted = toxic.select("t").mapInArrow(count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    terms = [r.term for r in counted.orderBy(F.desc("n"), "term").limit(candidates).collect()]
-    terms = sorted({*terms, *INSULTS})
+    terms = sorted({*(r.term for r in counted.select("term").collect()), *INSULTS})  # of the sample's texts
     numbers = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def incidence(batches):
@@ -227,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if y == 1:
             toxic_rows.append(at)
     odds = np.log((has[1] + 0.5) / (n_sample[1] + 1)) - np.log((has[0] + 0.5) / (n_sample[0] + 1))
-    chosen = _choose(terms, odds, toxic_rows, max_terms, cover, least)
+    chosen = _choose(terms, odds, toxic_rows, cover, least)
     weights = {terms[i]: float(odds[i]) for i in chosen}
     for w in INSULTS:
         weights.setdefault(w, max(3.0, float(odds[terms.index(w)])) if has[1][terms.index(w)] + has[0][terms.index(w)] < 3 else max(0.0, float(odds[terms.index(w)])))
@@ -245,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(weights, float(beta[0]), [float(b) for b in beta[1:]])
 
 
-def _choose(terms: list[str], odds: np.ndarray, toxic_rows: list[np.ndarray], max_terms: int, cover: int, least: int) -> list[int]:
+def _choose(terms: list[str], odds: np.ndarray, toxic_rows: list[np.ndarray], cover: int, least: int) -> list[int]:
     """Terms, best first, until every toxic row has `cover` of them or no term with enough new rows is left."""
     fit_for = odds >= 2.0
     if not toxic_rows or not fit_for.any():
@@ -260,7 +273,7 @@ def _choose(terms: list[str], odds: np.ndarray, toxic_rows: list[np.ndarray], ma
     need = np.full(len(toxic_rows), cover)
     out: list[int] = []
     taken = np.zeros(len(terms), bool)
-    while len(out) < max_terms:
+    while True:
         gain = np.bincount(flat, weights=need[row] > 0, minlength=len(terms))
         gain[taken | ~fit_for] = 0
         best = int(np.argmax(gain * odds))
@@ -277,7 +290,9 @@ def _choose(terms: list[str], odds: np.ndarray, toxic_rows: list[np.ndarray], ma
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with one more column, the score from 0 to 1."""
+    """docs with one more column, the score from 0 to 1; one of that name is replaced."""
+    held, own = fresh("text", [*docs.columns, score_col]), F.col(text_col).cast("string")
+    rows = docs.withColumn(held, own).drop(score_col)
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((Scorer(model.terms), model))
@@ -288,5 +303,5 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             x = np.array([scorer.features(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x))], names=[*batch.schema.names[:-1], score_col])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
-    return docs.withColumn("_scored_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(score_col, T.DoubleType())])
+    return rows.mapInArrow(run, schema)
