@@ -5,9 +5,10 @@ a square root, weighted by inverse document frequency and scaled to length 1. Ea
 spherical k-means over its training texts; the language of the nearest centroid by cosine wins. A text further from it
 than nearly all training texts of that language is marked as rejected.
 
-Learning uses texts and non-null languages of at most per_language training rows a language, picked by a hash of the id.
-Null texts and texts without a letter are `und` with score 0. Extra columns do not matter. Without any training row,
-every text is `und`.
+Learning uses texts and non-null languages of training rows: all of them for document frequencies, at most per_language a
+language for the centroids, picked by a hash. Null texts and texts without a letter are `und` with score 0. Of equally near
+centroids the first language by name wins. Long texts count whole, repeated rows each for itself; extra columns do not
+matter. Without any training row, every text is `und`; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_batches
+from .common import fresh, materialize, small_batches
 
 DIMS = 1 << 13
 UNKNOWN = "und"
@@ -101,59 +102,78 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, clusters: int = 4, max_languages: int = 400, reject: float = 0.005) -> Model:
-    """Learn from docs: training rows only. At most max_languages languages, the most frequent ones, are learned."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
-    names = [r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
-    picked = None
-    for name in sorted(names):
-        part = rows.where(F.col("lang") == name).select("id", "lang").orderBy(F.xxhash64("id"), "id").limit(per_language)
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
-        return Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], [])
-    # at most per_language * max_languages ids are broadcast
-    sample = materialize(rows.join(F.broadcast(picked), ["id", "lang"], "left_semi").repartition(8), "languages")
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, clusters: int = 4, reject: float = 0.005) -> Model:
+    """Learn from docs: training rows only, and every language in them.
+
+    Document frequencies are counted over all rows; centroids come from at most per_language rows a language, each language
+    in one task. The driver gets the centroids.
+    """
+    known = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
+    rows = docs.where(known).select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("h"))
 
-    def vectors(batches):
+    def frequencies(batches):
+        found: dict[str, np.ndarray] = {}  # of each language: documents, and those with an n-gram of each place
         for batch in batches:
-            found = [(lang, c) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (c := counts(t)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([_sparse(c) for _, c in found], pa.binary())], names=["lang", "v"])
-
-    seen, df, n = {}, np.zeros(DIMS), 0
-    for lang, blob in sample.select("lang", "t").mapInArrow(vectors, "lang string, v binary").toLocalIterator():
-        v = _dense(blob)
-        seen.setdefault(lang, []).append(v)
-        df += v > 0
-        n += 1
-    idf = np.log((n + 1) / (df + 1)).astype(np.float32) + 0.1
-    centres, langs, limits = [], [], []
-    for lang in sorted(seen):
-        x = _unit(_damped(np.stack(seen.pop(lang))) * idf)
-        found = _kmeans(x, clusters)
-        near = x @ found.T
+            for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (c := counts(t)) is not None:
+                    own = found.setdefault(lang, np.zeros(DIMS + 1, np.int64))
+                    own[0] += 1
+                    own[1:] += c > 0
+        for lang, own in found.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at - 1), pa.array(own[at])], names=["lang", "place", "n"])
+
+    small_batches(docs.sparkSession)
+    per = materialize(rows.select("t", "lang").mapInArrow(frequencies, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")), "frequencies")
+    sizes = per.where("place = -1").select("lang", F.col("n").alias("size"))
+    number, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    if not number:
+        return Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], [])
+    # the share of documents is that of the mean language, however large
+    share = np.zeros(DIMS)
+    for r in per.where("place >= 0").join(sizes, "lang").groupBy("place").agg((F.sum(F.col("n") / F.col("size")) / number).alias("share")).collect():  # at most DIMS rows
+        share[r.place] = r.share
+    idf = np.log((total + 1) / (share * total + 1)).astype(np.float32) + 0.1
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def centre(table: pa.Table) -> pa.Table:
+        found = [c for t in table.column("t").to_pylist() if (c := counts(t)) is not None]
+        if not found:
+            return pa.table({"lang": pa.array([], pa.string()), "centre": pa.array([], pa.binary()), "low": pa.array([], pa.float64())})
+        x = _unit(_damped(np.stack(found)) * shared.value)
+        centres = _kmeans(x, clusters)
+        near = x @ centres.T
         own = near.argmax(axis=1)
-        for j in range(len(found)):
-            mine = near[own == j, j]
-            centres.append(found[j])
-            langs.append(lang)
-            limits.append(float(np.quantile(mine, reject)) if len(mine) else 0.0)
-    return Model(idf, np.stack(centres).astype(np.float32) if centres else np.zeros((0, DIMS), np.float32), langs, limits)
+        limits = [float(np.quantile(near[own == j, j], reject)) if (own == j).any() else 0.0 for j in range(len(centres))]
+        return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(centres)), "centre": pa.array([c.astype("<f4").tobytes() for c in centres], pa.binary()), "low": pa.array(limits)})
 
+    found = _sample(rows, per_language).groupBy("lang").applyInArrow(centre, "lang string, centre binary, low double").collect()
+    found = sorted(found, key=lambda r: (r.lang, r.centre))
+    centroids = np.stack([np.frombuffer(r.centre, "<f4") for r in found]) if found else np.zeros((0, DIMS), np.float32)
+    return Model(idf, centroids, [r.lang for r in found], [r.low for r in found])
 
-def _sparse(c: np.ndarray) -> bytes:
-    at = np.flatnonzero(c)
-    return np.stack([at, c[at]]).astype("<i4").tobytes()
 
+def _sample(rows: DataFrame, per_language: int) -> DataFrame:
+    """Of each language, the per_language rows that are least by hash.
 
-def _dense(blob: bytes) -> np.ndarray:
-    at, n = np.frombuffer(blob, dtype="<i4").reshape(2, -1)
-    out = np.zeros(DIMS, np.float32)
-    out[at] = n
-    return out
+    Rows far above that number by their hash are left out before they are sorted; a language whose rows are all so is taken
+    whole, as only repeated rows can be.
+    """
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    share = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
+    near = rows.join(F.broadcast(sizes), "lang").withColumn("near", share * F.col("size") < 4 * per_language)  # one row a language, as in the model
+    held = near.groupBy("lang").agg(F.bool_or("near").alias("held"))
+    some = near.join(F.broadcast(held), "lang").where("near or not held")
+    number = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "t"))
+    first = some.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(64))).withColumn("no", number("lang", "salt")).where(F.col("no") <= per_language)
+    return first.withColumn("no", number("lang")).where(F.col("no") <= per_language).select("lang", "t")
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (cosine to the nearest centroid) and rejected."""
+    """docs with lang_pred, score (cosine to the nearest centroid) and rejected; columns of those names are replaced."""
+    names = ["lang_pred", "score", "rejected"]
+    held, own = fresh("text", [*docs.columns, *names]), F.col(text_col).cast("string")
+    rows = docs.withColumn(held, own).drop(*names)
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -161,7 +181,7 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         for batch in batches:
             found = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
             arrays = [pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()), pa.array(found[2], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*batch.schema.names[:-1], *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.withColumn("_lang_text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return rows.mapInArrow(run, schema)
