@@ -202,13 +202,14 @@ def _each(batches) -> Iterator[tuple]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield tuple(c[i] for c in batch.columns)
+        pa.default_memory_pool().release_unused()  # workers stay, beside the JVM
 
 
 def _block(ends, body, window: int) -> Block:
     return Block(body.as_py() or b"", ends.values.to_numpy().astype(np.int64), window)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, block_bytes: int = 3 << 20, group: int = 200_000) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, block_bytes: int = 2 << 20, group: int = 200_000) -> DataFrame:
     """One row per input row: id, n_words, n_removed, spans (word ranges [start, end) removed), kept_text."""
     if window < ANCHOR:
         raise ValueError(f"window must be {ANCHOR} words or more")
