@@ -31,12 +31,59 @@ def shard_replicas(replicas: DataFrame) -> DataFrame:
     return replicas.groupBy(*SHARD).agg(F.count("*").alias("n"), F.min("replica_seq").alias("first_seq"), F.max("replica_seq").alias("last_seq"))
 
 
+def table_names(tables: DataFrame) -> DataFrame:
+    """db_id, table_name and table_id of the tables that are there: what names are looked up in."""
+    return tables.where("state <> 'DELETED'").groupBy("db_id", "table_name").agg(F.min("table_id").alias("table_id"))
+
+
+def node_replicas(replicas: DataFrame) -> DataFrame:
+    """Replicas of each node: how many, and of how many tables."""
+    return replicas.groupBy("node_no").agg(F.count("*").alias("n"), F.count_distinct("table_id").alias("tables"))
+
+
 def apply_heartbeat(replicas: DataFrame, reports: DataFrame) -> DataFrame:
     """The reported replicas that are assigned to the node that reports them, with what it says."""
     said = reports.select(*REPLICA, "node_no", "role", "storage_status", "term")
     return replicas.select(*REPLICA, "node_no").join(said, [*REPLICA, "node_no"])
 
 
+def merge_heartbeat(replicas: DataFrame, reports: DataFrame) -> DataFrame:
+    """replicas after reports: role, storage_status and term as the replica's own node says, and whether it no longer has it."""
+    said = reports.select(*REPLICA, "node_no", F.col("role").alias("role1"), F.col("storage_status").alias("status1"), F.col("term").alias("term1"), F.lit(True).alias("said"))
+    gone = (F.col("desired") == "ABSENT") & (F.col("phase") == "DELETING") & F.col("said").isNull()
+    return replicas.join(said, [*REPLICA, "node_no"], "left").select(
+        *REPLICA, "node_no", F.coalesce("role1", "role").alias("role"), F.coalesce("status1", "storage_status").alias("storage_status"),
+        F.coalesce("term1", "term").alias("term"), F.when(gone, 1).otherwise(F.col("observed_no_exist")).alias("observed_no_exist"),
+    )
+
+
+def heartbeat_result(replicas: DataFrame, members: DataFrame, reports: DataFrame) -> DataFrame:
+    """All that nodes are told: heartbeat_diff, and reconfigurations for leaders; members go with what is to be created or added."""
+    diff = heartbeat_diff(replicas, members, reports)
+    commands = reconfig_commands(members, replicas).withColumnRenamed("command", "expected").select(*diff.columns)
+    listed = shard_members(members, replicas)
+    told = diff.unionByName(commands).join(listed, SHARD, "left")
+    return told.withColumn("members", F.when(F.col("expected").isin("PRESENT", "ADD_MEMBER"), F.col("members")))
+
+
+def apply_expected(expected: DataFrame, local: DataFrame) -> DataFrame:
+    """What a node does with what it is told: expected (node_no, a replica, expected, listed) with call, leader_seq and status.
+
+    local: the replicas that nodes hold, with role. listed: whether the replica is among the members sent along.
+    """
+    leaders = local.where("role = 'LEADER'").groupBy("node_no", *SHARD).agg(F.min("replica_seq").alias("leader_seq"))
+    rows = expected.join(leaders, ["node_no", *SHARD], "left")
+    kind, lead = F.col("expected"), F.col("leader_seq").isNotNull()
+    change = kind.isin("ADD_MEMBER", "REMOVE_MEMBER")
+    status = (
+        F.when(~change & ~kind.isin("PRESENT", "ABSENT"), "ERROR").when((kind == "ADD_MEMBER") & ~F.coalesce("listed", F.lit(False)), "INVALID_ARGUMENT")
+        .when(change & ~lead, "NOT_LEADER").otherwise("OK")
+    )
+    call = F.when(kind == "PRESENT", "create_replica").when(kind == "ABSENT", "delete_replica").when(kind == "ADD_MEMBER", "add_member").when(kind == "REMOVE_MEMBER", "remove_member")
+    done = F.col("status") == "OK"
+    return rows.withColumn("status", status).select("node_no", *REPLICA, "status", F.when(done, call).alias("call"), F.when(done & change, F.col("leader_seq")).alias("leader_seq"))
+
+
 def gone_replicas(replicas: DataFrame, reports: DataFrame) -> DataFrame:
     """Replicas being deleted that their node no longer reports."""
     waiting = replicas.where("desired = 'ABSENT' and phase = 'DELETING'")
@@ -278,6 +325,25 @@ def table_routes(tables: DataFrame, leaders: DataFrame) -> DataFrame:
     return rows.groupBy("table_id").agg(F.count("has").alias("routed"), F.bool_and(F.col("has").isNotNull()).alias("ready"))
 
 
+def writable_routes(entries: DataFrame) -> DataFrame:
+    """Route entries (table_id, shard_index, role, host, port) to leaders and status: writes need exactly one leader with an address."""
+    lead = (F.col("role") == "LEADER") & (F.coalesce("host", F.lit("")) != "") & (F.coalesce("port", F.lit(0)) > 0)
+    rows = entries.groupBy(*SHARD).agg(F.sum(lead.cast("long")).alias("leaders"))
+    return rows.withColumn("status", F.when(F.col("leaders") == 1, "OK").otherwise("ROUTE_NOT_FOUND"))
+
+
+def check_routes(tables: DataFrame, routes: DataFrame) -> DataFrame:
+    """table_id, status of routes as a client gets them: tables (table_id, shard_count), routes (table_id, shard_index, replicas).
+
+    ERROR for a negative table_id, no shards, a shard out of range, a route without replicas, or not as many routes as shards.
+    """
+    off = (F.col("shard_index") < 0) | (F.col("shard_index") >= F.col("shard_count")) | (F.col("replicas") <= 0)
+    rows = tables.select("table_id", "shard_count").join(routes, "table_id", "left")
+    found = rows.groupBy("table_id", "shard_count").agg(F.count("shard_index").alias("n"), F.coalesce(F.bool_or(off), F.lit(False)).alias("off"))
+    ok = (F.col("table_id") >= 0) & (F.col("shard_count") > 0) & ~F.col("off") & (F.col("n") == F.col("shard_count"))
+    return found.select("table_id", F.when(ok, "OK").otherwise("ERROR").alias("status"))
+
+
 def tables_ready(tables: DataFrame, replicas: DataFrame, members: DataFrame, leaders: DataFrame) -> DataFrame:
     """table_id, ready: every shard has as many replicas and members as asked for, all of them READY voters, and a leader."""
     fine = (F.col("desired") == "PRESENT") & (F.col("phase") == "READY") & (F.col("member_type") == "VOTER")

@@ -92,6 +92,13 @@ def exposition(buckets: DataFrame) -> DataFrame:
     return lines.unionByName(ends)
 
 
+def counter_exposition(counts: DataFrame, prefix: str = "") -> DataFrame:
+    """counts (name, value) as text: a line with the type, and one with the value."""
+    full = F.concat(F.lit(prefix), "name", F.lit("_total"))
+    lines = F.array(F.concat(F.lit("# TYPE "), full, F.lit(" counter")), F.concat(full, F.lit(" "), F.col("value").cast("string")))
+    return counts.select("name", F.posexplode(lines).alias("no", "line"))
+
+
 def display_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, "_latency_us$", ""), "_total$", "")
 

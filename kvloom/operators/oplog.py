@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+CONFIG_OPS = ("ADD_LEARNER", "PROMOTE_VOTER", "REMOVE_MEMBER")
+
+#: Numbers of seq that are counted together: what one task then orders is one row for each of these blocks.
+BLOCK = 1 << 16
+
 
 def last_index(log: DataFrame) -> Column:
     """The log's last index as a scalar subquery; 0 for an empty log."""
@@ -99,6 +104,13 @@ def unapplied(log: DataFrame, applied: Column, commit: Column) -> DataFrame:
     return log.where((F.col("idx") > applied) & (F.col("idx") <= commit)).orderBy("idx")
 
 
+def split(log: DataFrame, applied: Column, commit: Column) -> tuple[DataFrame, DataFrame]:
+    """(entries for the state, configuration changes) among the committed entries that are not applied."""
+    due = log.where((F.col("idx") > applied) & (F.col("idx") <= commit))
+    change = F.col("op").isin(*CONFIG_OPS)
+    return due.where(~change), due.where(change)
+
+
 def valid_prefix(wal: DataFrame) -> DataFrame:
     """Entries of a stored log (with ok) before the first that is damaged or does not follow its predecessor."""
     lowest = wal.agg(F.min("idx")).scalar()
@@ -116,6 +128,28 @@ def recover(wal: DataFrame, snapshot_index: Column | int) -> DataFrame:
     return rest.where(first == snapshot_index + 1)
 
 
+def receive_chunks(chunks: DataFrame, by: list[str], order: str, session: list[str]) -> DataFrame:
+    """Snapshots received by each receiver (by), whose chunks (offset, size) come in order: chunks, accepted and bytes of each session.
+
+    A chunk at offset 0 begins a session. Later ones are accepted if they are of the same sender and snapshot (the columns
+    session) and begin where the last accepted one ended; others change nothing, so a chunk may be sent again. What comes
+    before the first session is left out. A session is one array, of a megabyte of snapshot an entry.
+    """
+    begins = (F.col("offset") == 0).cast("long")
+    number = F.sum(begins).over(Window.partitionBy(*by).orderBy(order))
+    rows = chunks.withColumn("session", number).where("session > 0")
+    chunk = F.struct(order, F.struct(*session).alias("of"), F.col("offset").cast("long").alias("offset"), F.col("size").cast("long").alias("size"))
+    held = rows.groupBy(*by, "session").agg(F.array_sort(F.collect_list(chunk)).alias("c"))
+    first = F.get("c", F.lit(0))["of"]
+    zero = F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("accepted"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = x["of"].eqNullSafe(first) & (x["offset"] == s["bytes"])
+        return F.struct((s["bytes"] + F.when(fits, x["size"]).otherwise(0)).alias("bytes"), (s["accepted"] + fits.cast("long")).alias("accepted"))
+
+    return held.withColumn("f", F.aggregate("c", zero, step)).select(*by, "session", F.size("c").cast("long").alias("chunks"), "f.accepted", "f.bytes")
+
+
 def contiguous(chunks: DataFrame, by: str, order: str) -> DataFrame:
     """chunks (offset, size) of transfers: n, accepted as long as each begins where the last one ended."""
     w = Window.partitionBy(by).orderBy(order)
@@ -127,7 +161,24 @@ def contiguous(chunks: DataFrame, by: str, order: str) -> DataFrame:
     )
 
 
-def batches(proposals: DataFrame, config_ops: tuple[str, ...] = ("ADD_LEARNER", "PROMOTE_VOTER", "REMOVE_MEMBER"), block: int = 4096) -> DataFrame:
+def propose(proposals: DataFrame, last: Column, ready: bool = True, leader: bool = True, voter: bool = True, block: int = BLOCK) -> DataFrame:
+    """proposals (seq, kind, op) with status and idx: those that are fine get the next indexes in order, others -1.
+
+    kind: WRITE, NOOP or CONFIG. Running counts are taken within blocks of seq, on top of the counts of earlier blocks.
+    """
+    kind, op = F.col("kind"), F.col("op")
+    fine = ((kind == "WRITE") & op.isin("PUT", "DEL")) | (kind == "NOOP") | ((kind == "CONFIG") & op.isin(*CONFIG_OPS))
+    refused = "ERROR" if not ready else "NOT_LEADER" if not leader else "NOT_VOTER" if not voter else None
+    status = F.lit(refused) if refused else F.when(F.coalesce(fine, F.lit(False)), "OK").otherwise("INVALID_ARGUMENT")
+    rows = proposals.withColumn("status", status).withColumn("one", (F.col("status") == "OK").cast("long")).withColumn("block", F.floor(F.col("seq") / block))
+    sums = rows.groupBy("block").agg(F.sum("one").alias("n"))
+    before = sums.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.sum("one").over(Window.partitionBy("block").orderBy("seq"))
+    found = rows.join(before, "block").withColumn("idx", F.when(F.col("one") == 1, last + F.col("before") + own).otherwise(-1))
+    return found.drop("block", "before", "one")
+
+
+def batches(proposals: DataFrame, config_ops: tuple[str, ...] = CONFIG_OPS, block: int = BLOCK) -> DataFrame:
     """proposals (seq, op) with batch: writes between two configuration changes go together, each change alone.
 
     Running counts are taken within blocks of seq, on top of the counts of earlier blocks.

@@ -53,14 +53,33 @@ def follower_commit(rows: DataFrame) -> DataFrame:
     return rows.withColumn("new_commit", F.greatest("commit_index", F.least("leader_commit", "last_index")))
 
 
+def read_confirmed(log: DataFrame, progress: DataFrame, answers: DataFrame, leader: bool = True) -> DataFrame:
+    """scenario, status, read_index: a read may go on once a quorum, the leader included, has answered in its term.
+
+    answers: scenario, replica_seq, term (null if none came). Whether entries fit does not matter; an answer of a later term
+    ends the leadership.
+    """
+    current = log.agg(F.max("term")).scalar()
+    got = answers.groupBy("scenario").agg(F.count_distinct(F.when(F.col("term") == current, F.col("replica_seq"))).alias("same"), F.max(F.col("term") > current).alias("deposed"))
+    voters = progress.groupBy("scenario").agg(quorum(F.sum((F.col("member_type") == "VOTER").cast("long"))).alias("need"))
+    rows = read_gate(log, progress).join(voters, "scenario").join(got, "scenario", "left")
+    enough = F.coalesce("same", F.lit(0)) + 1 >= F.col("need")
+    status = F.when(~F.lit(leader), "NOT_LEADER").when(~F.col("ready"), "NOT_YET_COMMIT").when(F.col("deposed") | ~enough, "NOT_LEADER").otherwise("OK")
+    return rows.select("scenario", status.alias("status"), F.when(status == "OK", F.col("read_index")).alias("read_index"))
+
+
 def replication_plan(log: DataFrame, progress: DataFrame, snapshot_index: Column, limit: int = MAX_ENTRIES) -> DataFrame:
-    """What to send each peer next: a snapshot if its place is gone, else up to limit entries."""
+    """What to send each peer next: a snapshot if its place is gone, else up to limit entries.
+
+    progress may have inflight, the index of a snapshot that is on its way (0 for none): such a peer is sent no other one.
+    """
     last = last_index(log)
-    peers = progress.where("is_self = 0").select("scenario", "replica_seq", F.col("match_index").alias("prev"))
+    busy = F.coalesce("inflight", F.lit(0)) > 0 if "inflight" in progress.columns else F.lit(False)
+    peers = progress.where("is_self = 0").select("scenario", "replica_seq", F.col("match_index").alias("prev"), busy.alias("busy"))
     behind = F.col("prev") < snapshot_index
     known = peers.join(log.select(F.col("idx").alias("prev"), F.col("term").alias("prev_term")), "prev", "left")
     return known.select(
-        "scenario", "replica_seq", F.when(behind, "INSTALL_SNAPSHOT").otherwise("APPEND_ENTRIES").alias("action"),
+        "scenario", "replica_seq", F.when(behind & F.col("busy"), "WAIT").when(behind, "INSTALL_SNAPSHOT").otherwise("APPEND_ENTRIES").alias("action"),
         F.when(~behind, F.col("prev")).alias("prev_log_index"), F.when(~behind, F.coalesce("prev_term", F.lit(0))).alias("prev_log_term"),
         F.when(behind, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.lit(limit), last - F.col("prev")))).cast("long").alias("n_entries"),
     )
@@ -165,6 +184,31 @@ def install_decision(requests: DataFrame, log: DataFrame, current_term: int, com
     return requests.join(have, "snapshot_index", "left").withColumn("decision", decision).drop("own_term")
 
 
+def leader_start(members: DataFrame, last: Column) -> DataFrame:
+    """What a new leader knows of its peers (members with is_self): nothing, and that they may have all of its log."""
+    none = lambda n: F.lit(0).cast("long").alias(n)
+    return members.where("is_self = 0").select("scenario", "replica_seq", (last + 1).cast("long").alias("next_index"), none("match_index"), none("watermark"), none("inflight"))
+
+
+def snapshot_response(rows: DataFrame, current_term: int) -> DataFrame:
+    """What the leader does with answers to snapshots, by the first rule that applies, and the peer's positions after it.
+
+    rows: term, sent_term, leader, status, watermark, snapshot_index, and the peer's inflight, known, match_index and next_index.
+    One that installed it, or had it already, has all up to it; in any case nothing is on its way any more.
+    """
+    has = (F.col("status") == "OK") | ((F.col("status") == "ALREADY_EXIST") & (F.col("watermark") >= F.col("snapshot_index")))
+    action = (
+        F.when(F.col("term") > current_term, "STEP_DOWN").when(~F.col("leader"), "NOT_LEADER").when(F.col("sent_term") != current_term, "IGNORE_OLD_TERM")
+        .when(has, "ADVANCE").otherwise("FAILED")
+    )
+    moved, upto = F.col("action") == "ADVANCE", F.greatest("watermark", "snapshot_index")
+    answered = F.col("action").isin("ADVANCE", "FAILED") & (F.col("inflight") == F.col("snapshot_index"))
+    later = lambda c, x: F.when(moved, F.greatest(c, x)).otherwise(F.col(c)).alias(f"new_{c}")
+    return rows.withColumn("action", action).select(
+        "*", F.when(answered, 0).otherwise(F.col("inflight")).alias("new_inflight"), later("known", upto), later("match_index", upto), later("next_index", upto + 1)
+    )
+
+
 def applied_index(rows: DataFrame) -> DataFrame:
     """commit_index, last_applied, applied and snapshot_index to what they become: never back, and at least the snapshot's."""
     return rows.withColumn("new_applied", F.greatest("last_applied", "applied", "snapshot_index")).withColumn("new_commit", F.greatest("commit_index", "snapshot_index"))
@@ -177,12 +221,16 @@ def promotable(progress: DataFrame, target: Column) -> DataFrame:
 
 
 def vote_decision(requests: DataFrame, current_term: int, own_last: DataFrame) -> DataFrame:
-    """requests (voter, term, last_term, last_index, candidate) with granted; own_last: last_term, last_index, voted_for."""
+    """requests (voter, term, last_term, last_index, candidate) with granted; own_last: last_term, last_index, voted_for.
+
+    voter: whether the one asked is a voter; where requests have candidate_voter, the one that asks must be a voter too.
+    """
     mine = F.struct(own_last.select("last_term").scalar().alias("t"), own_last.select("last_index").scalar().alias("i"))
     theirs = F.struct(F.col("last_term").alias("t"), F.col("last_index").alias("i"))
     voted = own_last.select("voted_for").scalar()
     free = (F.col("term") > current_term) | voted.isNull() | (voted == F.col("candidate"))
-    return requests.withColumn("granted", F.col("voter") & (F.col("term") >= current_term) & ~(mine > theirs) & free)
+    both = F.col("voter") & F.col("candidate_voter") if "candidate_voter" in requests.columns else F.col("voter")
+    return requests.withColumn("granted", both & (F.col("term") >= current_term) & ~(mine > theirs) & free)
 
 
 def vote_tally(votes: DataFrame, by: list[str]) -> DataFrame:

@@ -33,6 +33,33 @@ def requests(spark: SparkSession, n: int, keys: int, size: int, read_percent: in
 def run_summary(samples: DataFrame, elapsed_s: float) -> DataFrame:
     """One row for samples (latency_us, ok) of one run."""
     one = samples.agg(F.count("*").alias("requests"), F.sum(F.col("ok").cast("long")).alias("success")).withColumn("failure", F.col("requests") - F.col("success"))
-    latency = summary(samples.withColumn("run", F.lit(1)), "run").drop("name", "count", "sum_us", "min_us")
+    latency = summary(samples.withColumn("run", F.lit(1)), "run").drop("name", "count", "sum_us")
     rates = one.select("*", (F.col("requests") / elapsed_s).alias("attempted_qps"), (F.col("success") / elapsed_s).alias("success_qps"), (F.col("failure") / F.col("requests")).alias("failure_rate"))
     return rates.withColumn("j", F.lit(1)).join(latency.withColumn("j", F.lit(1)), "j").drop("j")
+
+
+LATENCY = {"min_us": "min", "avg_us": "avg", "p50_us": "p50", "p95_us": "p95", "p99_us": "p99", "max_us": "max"}
+
+
+def write_json(results: DataFrame, path: str) -> None:
+    """Results of runs, one object a run, latencies in an object of their own."""
+    latency = F.struct(F.col("requests").alias("count"), *[F.col(c).alias(n) for c, n in LATENCY.items() if c in results.columns])
+    results.select(*[c for c in results.columns if c not in LATENCY], latency.alias("latency_us")).write.mode("overwrite").json(path)
+
+
+def read_json(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What write_json wrote, with the columns and types of like."""
+    held = [f for f in like.schema if f.name in LATENCY]
+    nested = ", ".join(f"{LATENCY[f.name]}: {f.dataType.simpleString()}" for f in held)
+    rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in like.schema if f.name not in LATENCY)
+    rows = spark.read.schema(f"{rest}, latency_us struct<{nested}>").json(path)
+    return rows.select(*[F.col(f"latency_us.{LATENCY[c]}").alias(c) if c in LATENCY else c for c in like.columns])
+
+
+def write_csv(results: DataFrame, path: str) -> None:
+    """Results of runs, one line a run below a line of names."""
+    results.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return spark.read.schema(like.schema).option("header", True).csv(path)

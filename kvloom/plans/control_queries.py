@@ -380,7 +380,7 @@ def bench_workload(t: Inputs):
     return workload.requests(t.spark, 30_000, 1000, 128, 80)
 
 
-@query("bench_summary", f"select count(*) as requests, sum(ok)::bigint as success, count(*) - sum(ok)::bigint as failure, count(*) / 4.0::double as attempted_qps, sum(ok)::bigint / 4.0::double as success_qps, (count(*) - sum(ok)::bigint) / count(*) as failure_rate, max(m.max_us) as max_us, max(m.avg_us) as avg_us, max(m.p50_us) as p50_us, max(m.p95_us) as p95_us, max(m.p99_us) as p99_us from latency_samples cross join ({_SUMMARY.format(key='1 as run', by='')}) m")
+@query("bench_summary", f"select count(*) as requests, sum(ok)::bigint as success, count(*) - sum(ok)::bigint as failure, count(*) / 4.0::double as attempted_qps, sum(ok)::bigint / 4.0::double as success_qps, (count(*) - sum(ok)::bigint) / count(*) as failure_rate, min(m.min_us) as min_us, max(m.max_us) as max_us, max(m.avg_us) as avg_us, max(m.p50_us) as p50_us, max(m.p95_us) as p95_us, max(m.p99_us) as p99_us from latency_samples cross join ({_SUMMARY.format(key='1 as run', by='')}) m")
 def bench_summary(t: Inputs):
     return workload.run_summary(t.latency_samples, 4.0)
 

@@ -17,7 +17,11 @@ from pyspark.sql import functions as F
 #: Numbers of operations, and the largest payload.
 OPS = ["PUT", "DEL", "NONE", "ADD_LEARNER", "PROMOTE_VOTER", "REMOVE_MEMBER"]
 MAX_PAYLOAD = 64 << 20
-ENTRY_SCHEMA = "file string, idx long, term long, op string, k string, v string, need_recover boolean"
+ENTRY_SCHEMA = "file string, idx long, term long, op string, k string, v string, node_id string, table_id int, shard_index int, replica_seq int, host string, port int, need_recover boolean"
+
+#: The member that a configuration change is about, and what stands for none in a log.
+MEMBER = {"node_id": "", "table_id": -1, "shard_index": -1, "replica_seq": -1, "host": "", "port": 0}
+NOBODY = tuple(MEMBER.values())
 
 
 def _text(s: str) -> bytes:
@@ -25,14 +29,17 @@ def _text(s: str) -> bytes:
     return struct.pack("<i", len(data)) + data
 
 
-def encode(term: int, idx: int, op: str, key: str, value: str) -> bytes:
-    """One frame; entries here carry no configuration member, which is written as zeros."""
-    payload = struct.pack("<qqi", term, idx, OPS.index(op)) + _text(key or "") + _text(value or "")
+def encode(term: int, idx: int, op: str, key: str, value: str, member: tuple | None = None) -> bytes:
+    """One frame. member: node_id, table_id, shard_index, replica_seq, host, port of a configuration change, else none."""
+    node, table, shard, seq, host, port = member or NOBODY
+    replica = struct.pack("<iii", table, shard, seq)
+    change = _text(node) + replica + _text(host) + struct.pack("<i", port) + replica
+    payload = struct.pack("<qqi", term, idx, OPS.index(op)) + _text(key or "") + _text(value or "") + change
     return struct.pack("<iI", len(payload), zlib.crc32(payload)) + payload
 
 
 def decode(data: bytes) -> tuple[list[tuple], bool]:
-    """((idx, term, op, key, value) of each good frame, whether what follows is damaged)."""
+    """((idx, term, op, key, value, member or None) of each good frame, whether what follows is damaged)."""
     out: list[tuple] = []
     at = 0
     while at < len(data):
@@ -53,29 +60,49 @@ def decode(data: bytes) -> tuple[list[tuple], bool]:
     return out, False
 
 
-def _entry(payload: bytes) -> tuple:
-    term, idx, op = struct.unpack_from("<qqi", payload)
-    at, texts = 20, []
-    for _ in range(2):
-        (n,) = struct.unpack_from("<i", payload, at)
-        if n < 0 or at + 4 + n > len(payload):
+class _Reader:
+    def __init__(self, payload: bytes) -> None:
+        self.payload, self.at = payload, 0
+
+    def numbers(self, layout: str) -> tuple:
+        found = struct.unpack_from(layout, self.payload, self.at)
+        self.at += struct.calcsize(layout)
+        return found
+
+    def text(self) -> str:
+        (n,) = self.numbers("<i")
+        if n < 0 or self.at + n > len(self.payload):
             raise ValueError("text beyond the payload")
-        texts.append(payload[at + 4 : at + 4 + n].decode())
-        at += 4 + n
-    if at != len(payload):
+        self.at += n
+        return self.payload[self.at - n : self.at].decode()
+
+
+def _entry(payload: bytes) -> tuple:
+    r = _Reader(payload)
+    term, idx, op = r.numbers("<qqi")
+    key, value = r.text(), r.text()
+    member = (r.text(), *r.numbers("<iii"), r.text(), *r.numbers("<i"))
+    replica = r.numbers("<iii")
+    if r.at != len(payload):
         raise ValueError("bytes after the entry")
-    return idx, term, OPS[op] if 0 <= op < len(OPS) else OPS[len(OPS)], *texts
+    if not 0 <= op < len(OPS):
+        raise ValueError("unknown operation")
+    if member == NOBODY and replica != NOBODY[1:4]:
+        member = (*NOBODY[:1], *replica, *NOBODY[4:])
+    return idx, term, OPS[op], key, value, None if member == NOBODY else member
 
 
 def frames(log: DataFrame, segment: int) -> DataFrame:
-    """segment, content: the log's entries as binary files of `segment` entries each."""
+    """segment, content: the log's entries as binary files of `segment` entries each, with the columns of MEMBER where the log has them."""
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("idx")
-        data = b"".join(encode(*x) for x in zip(part.term.tolist(), part.idx.tolist(), part.op, part.k, part.v, strict=True))
+        members = zip(*(part[c].tolist() for c in MEMBER), strict=True)
+        data = b"".join(encode(*x) for x in zip(part.term.tolist(), part.idx.tolist(), part.op, part.k, part.v, members, strict=True))
         return pd.DataFrame({"segment": [int(part.segment.iloc[0])], "content": [data]})
 
-    rows = log.select("idx", "term", "op", "k", "v", F.floor((F.col("idx") - 1) / segment).cast("long").alias("segment"))
+    change = [(F.coalesce(c, F.lit(none)) if c in log.columns else F.lit(none)).alias(c) for c, none in MEMBER.items()]
+    rows = log.select("idx", "term", "op", "k", "v", *change, F.floor((F.col("idx") - 1) / segment).cast("long").alias("segment"))
     return rows.groupBy("segment").applyInPandas(pack, "segment long, content binary")
 
 
@@ -87,7 +114,8 @@ def entries(files: DataFrame) -> DataFrame:
             for path, content in zip(part.path, part.content, strict=True):
                 good, damaged = decode(bytes(content))
                 if good:
-                    yield pd.DataFrame([(path, *x, damaged) for x in good], columns=["file", "idx", "term", "op", "k", "v", "need_recover"])
+                    rows = [(path, *x[:5], *(x[5] or [None] * len(MEMBER)), damaged) for x in good]
+                    yield pd.DataFrame(rows, columns=["file", "idx", "term", "op", "k", "v", *MEMBER, "need_recover"]).astype({c: "Int32" for c, none in MEMBER.items() if none != ""})
 
     return files.select("path", "content").mapInPandas(run, ENTRY_SCHEMA)
 

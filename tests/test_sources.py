@@ -33,7 +33,7 @@ def test_hash_and_shards(spark):
 def test_frames_round_trip_and_cut(entries, cut):
     blobs = [wal.encode(t, i + 1, op, k, v) for i, (t, op, k, v) in enumerate(entries)]
     data = b"".join(blobs)
-    expected = [(i + 1, *e) for i, e in enumerate(entries)]
+    expected = [(i + 1, *e, None) for i, e in enumerate(entries)]
     assert wal.decode(data) == (expected, False)
     short = data[: max(0, len(data) - cut)]
     good, damaged = wal.decode(short)
@@ -43,12 +43,18 @@ def test_frames_round_trip_and_cut(entries, cut):
 
 def test_damage_keeps_the_prefix():
     a, b = wal.encode(1, 1, "PUT", "k", "v"), wal.encode(1, 2, "DEL", "k", "")
-    assert wal.decode(a + b[:-1] + bytes([b[-1] ^ 1])) == ([(1, 1, "PUT", "k", "v")], True)
+    assert wal.decode(a + b[:-1] + bytes([b[-1] ^ 1])) == ([(1, 1, "PUT", "k", "v", None)], True)
     assert wal.decode(a + wal.encode(1, 3, "PUT", "k", "v"))[1]
     assert wal.decode(struct.pack("<iI", -5, 0)) == ([], True)
     assert wal.decode(b"") == ([], False)
 
 
+def test_members_of_configuration_changes():
+    member = ("storage-1", 7, 0, 2, "10.0.0.1", 9000)
+    assert wal.decode(wal.encode(1, 1, "ADD_LEARNER", "", "", member) + wal.encode(1, 2, "REMOVE_MEMBER", "", "", ("", 7, 0, 2, "", 0))) == (
+        [(1, 1, "ADD_LEARNER", "", "", member), (2, 1, "REMOVE_MEMBER", "", "", ("", 7, 0, 2, "", 0))], False)
+
+
 def test_binary_log_files(spark, tmp_path):
     for n in range(3):
         (tmp_path / f"{n}.log").write_bytes(b"".join(wal.encode(1, 10 * n + i, "PUT", f"k{i}", "v") for i in range(1, 4)))
