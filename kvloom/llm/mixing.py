@@ -12,7 +12,8 @@ Tickets round the weights. Where that would move a source by a block or more in
 block_docs documents have their releases and deadlines from the weights themselves, over the whole mix. If every source
 that has documents left were served at all times in proportion to its weight, block j would be under way from one time to
 another: those are its release, rounded down, and its deadline, rounded up. Earliest deadlines first again keep every
-source within a block of that course. This is worked out on the driver, with a heap, from the sizes of the sources alone.
+source within a block of that course. Slots are worked out in windows, each by itself and in SQL, as what is done by a slot
+has a closed form (see _windows). Only for more than max_sources sources is it the driver, with a heap, from their sizes.
 
 No document is dropped: the result has every row, its block, the slot of the block and its place in the block. Rows of a
 source are ordered by the MD5 of their id. Null sources form a source of their own, first by name; null ids are allowed,
@@ -27,7 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Documents that share a bucket of the numbering, on average, at most.
@@ -130,6 +131,83 @@ def _exact(w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return source[out], number[out]
 
 
+def _on_driver(spark: SparkSession, names: list[str], w: list[float], blocks: list[int]) -> DataFrame:
+    """src, block, slot by exact weights of very many sources."""
+    source, number = _exact(np.array(w), np.array(blocks))
+    return spark.createDataFrame(pa.table({"src": pa.array(np.array(names, dtype=object)[source], pa.string()), "block": number, "slot": np.arange(len(number))}))
+
+
+#: Slots that are worked out together.
+WINDOW = 4096
+
+
+def _let(name: str, value: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _virtual(t: str) -> str:
+    """How many times its weight a source with blocks left has had by slot t; null phases do not occur, as the first one begins at 0."""
+    return _let("p", f"element_at(filter(phases, p -> p.c <= {t}), -1)", f"p.v + ({t} - p.c) / p.rest")
+
+
+def _course(v: str) -> str:
+    return _let("p", f"element_at(filter(phases, p -> p.v <= {v}), -1)", f"p.c + ({v} - p.v) * p.rest")
+
+
+def _due(x: str, v: str) -> str:
+    """Blocks of source x whose deadlines are past at virtual time v."""
+    return f"least({x}.b, floor({x}.w * {v} + 1e-6D))"
+
+
+def _out(x: str, v: str) -> str:
+    """Blocks of source x whose releases are before virtual time v."""
+    return f"least({x}.b, ceil({x}.w * {v} - 1e-6D))"
+
+
+def _job(x: str, j: str) -> str:
+    """Block j of source x: the first slot after which it is out, and the first one by which it is due. The counts decide, not the rounding."""
+    release = _let("g", f"floor({_course(f'({j} / {x}.w)')} + 1e-6D)", f"if({_out(x, _virtual('g'))} > {j}, g - 1, if({_out(x, _virtual('(g + 1)'))} > {j}, g, g + 1))")
+    due = _let("g", f"ceil({_course(f'(({j} + 1) / {x}.w)')} - 1e-6D)", f"if({_due(x, _virtual('(g - 1)'))} > {j}, g - 1, if({_due(x, _virtual('g'))} > {j}, g, g + 1))")
+    return f"if({j} < {x}.b, named_struct('j', {j}, 'release', {release}, 'due', {due}), named_struct('j', {j}, 'release', cast(null as bigint), 'due', cast(null as bigint)))"
+
+
+def _windows(sources: DataFrame, total: int) -> DataFrame:
+    """src, block, slot by exact weights: sources has src, blocks and w. Every window of slots is worked out by itself.
+
+    What earliest deadlines first has done by slot T needs no run up to there. All blocks due by T are done. Of the others that
+    are out, at most one a source, the earliest deadlines are done, as far as slots allow: from any slot t on, there
+    are T - t slots, less the due blocks that come out at t or later, and both are counts in closed form. Slots before the
+    first release of those others always suffice, so what is looked at is as long as a block of the rarest source waits.
+    """
+    held = sources.agg(F.array_sort(F.collect_list(F.struct("src", F.col("blocks").cast("long").alias("b"), F.col("w").cast("double").alias("w")))).alias("every"))
+    gone = "aggregate(every, 0D, (a, x) -> a + if(x.b / x.w <= v, cast(x.b as double), x.w * v))"
+    rest = "aggregate(every, 0D, (a, x) -> a + if(x.b / x.w > v, x.w, 0D))"
+    times = "array_sort(array_distinct(concat(array(0D), transform(every, x -> x.b / x.w))))"
+    held = held.withColumn("phases", F.expr(f"filter(transform({times}, v -> named_struct('c', {gone}, 'v', v, 'rest', {rest})), p -> p.rest > 0)"))
+    number = -(-total // WINDOW)
+    rows = sources.sparkSession.range(number).select((F.col("id") * WINDOW).alias("t0"), held.select("every").scalar().alias("every"), held.select("phases").scalar().alias("phases"))
+    rows = rows.withColumn("v0", F.expr(_virtual("t0"))).withColumn("done", F.expr(_let("v", "v0", f"transform(every, x -> {_due('x', 'v')})")))
+    waiting = f"transform(every, (x, i) -> if({_out('x', 'v0')} > done[i], {_let('o', _job('x', 'done[i]'), 'named_struct(\'due\', o.due, \'i\', i, \'release\', o.release)')}, null))"
+    rows = rows.withColumn("waiting", F.expr(f"array_sort(filter({waiting}, o -> o is not null))"))
+    late = _let("v", _virtual("t"), f"aggregate(transform(every, (x, i) -> greatest(0L, done[i] - {_out('x', 'v')})), 0L, (a, n) -> a + n)")
+    least = f"array_min(transform(sequence(if(k = 0, r, ends[greatest(k, 1) - 1] + 1), r), t -> t0 - t - {late}))"
+    rooms = _let("ends", "array_sort(array_distinct(waiting.release))", f"transform(ends, (r, k) -> named_struct('t', r, 'n', {least}))")
+    need = "named_struct('t', 0L, 'n', t0 - aggregate(done, 0L, (a, n) -> a + n))"
+    rows = rows.withColumn("room", F.expr(f"concat(array({need}), {rooms})"))
+    taken = """
+        aggregate(waiting, named_struct('room', room, 'taken', cast(array() as array<int>)), (s, o) ->
+            if(forall(s.room, r -> r.t > o.release or r.n > 0),
+               named_struct('room', transform(s.room, r -> named_struct('t', r.t, 'n', r.n - if(r.t <= o.release, 1L, 0L))), 'taken', concat(s.taken, array(o.i))),
+               s), s -> s.taken)"""
+    rows = rows.withColumn("taken", F.expr(taken)).withColumn("next", F.expr(_let("some", "taken", f"transform(every, (x, i) -> {_let('j', 'done[i] + if(array_contains(some, i), 1L, 0L)', _job('x', 'j'))})")))
+    best = "array_min(filter(transform(s.next, (o, i) -> if(o.release <= t, named_struct('due', o.due, 'i', i), null)), c -> c is not null)).i"
+    moved = _let("x", "every[best]", _let("k", "s.next[best].j + 1", _job("x", "k")))
+    step = _let("best", best, _let("new", moved, "named_struct('next', transform(s.next, (o, i) -> if(i = best, new, o)), 'slots', concat(s.slots, array(named_struct('i', best, 'j', s.next[best].j))))"))
+    slots = f"aggregate(sequence(t0, least(t0 + {WINDOW}, {total}L) - 1), named_struct('next', next, 'slots', cast(array() as array<struct<i: int, j: bigint>>)), (s, t) -> {step}, s -> s.slots)"
+    found = rows.select("t0", "every", F.expr(slots).alias("slots")).select("t0", "every", F.posexplode("slots").alias("no", "at"))
+    return found.select(F.expr("every[at.i].src").alias("src"), F.col("at.j").alias("block"), (F.col("t0") + F.col("no")).alias("slot"))
+
+
 def mixed(
     docs: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source", alpha: float = 0.5, resolution: int = 200, block_docs: int = 64, max_sources: int = 1000,
 ) -> DataFrame:
@@ -154,19 +232,19 @@ def mixed(
     number = F.row_number().over(Window.partitionBy("src", "bucket").orderBy("h", "id"))
     ranked = keyed.join(offsets, ["src", "bucket"]).withColumn("rank", F.col("before") + number - 1)
     every = sources.orderBy("src").collect()
-    w, n, tickets, periods = (np.array([r[c] for r in every]) for c in ("w", "n", "tickets", "periods"))
-    none = ~(w > 0)
-    w = np.where(none, (w[~none].sum() or 1.0) / resolution / max(1, none.sum()), w)
-    if len(every) > max_sources or _off(w, tickets, periods) >= 1:
-        blocks = -(-n // block_docs)
-        source, number = _exact(w, blocks)
-        names = np.array([r.src for r in every], dtype=object)
-        spark = docs.sparkSession
-        sizes = spark.createDataFrame(pa.table({"src": pa.array(names, pa.string()), "n": n, "blocks": blocks}))
-        slots = spark.createDataFrame(pa.table({"src": pa.array(names[source], pa.string()), "block": number, "slot": np.arange(len(number))}))
-        found = ranked.join(F.broadcast(sizes), "src").withColumn("block", F.expr("(rank * blocks) div n"))
-        found = found.join(F.broadcast(slots) if len(number) <= BROADCAST_SLOTS else slots, ["src", "block"])
-        return found.select("row.*", F.col("block").alias("mix_block"), F.col("slot").alias("mix_slot"), F.expr("rank - (block * n + blocks - 1) div blocks").alias("mix_place"))
+    blocks = [-(-r.n // block_docs) for r in every]
+    # what a weight that is none stands for
+    none = sum(not r.w > 0 for r in every)
+    least = (sum(r.w for r in every if r.w > 0) or 1.0) / resolution / max(1, none)
+    w = [r.w if r.w > 0 else least for r in every]
+    if len(every) > max_sources or _off(np.array(w), np.array([r.tickets for r in every]), np.array([r.periods for r in every])) >= 1:
+        sizes = sources.select("src", "n", F.expr(f"(n + {block_docs - 1}) div {block_docs}").alias("blocks"), F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(least)).alias("w"))
+        slots = _windows(sizes, sum(blocks)) if len(every) <= max_sources else _on_driver(docs.sparkSession, [r.src for r in every], w, blocks)
+        sized = F.broadcast(sizes.drop("w")) if len(every) <= max_sources else sizes.drop("w")
+        found = ranked.join(sized, "src").withColumn("block", F.expr("(rank * blocks) div n"))
+        found = found.join(F.broadcast(slots) if sum(blocks) <= BROADCAST_SLOTS else slots, ["src", "block"], "left")
+        slot = F.coalesce("slot", F.raise_error(F.lit("a block has no slot")).cast("long"))
+        return found.select("row.*", F.col("block").alias("mix_block"), slot.alias("mix_slot"), F.expr("rank - (block * n + blocks - 1) div blocks").alias("mix_place"))
     # at most max_sources rows, which together hold at most max_sources * (resolution + max_sources) slots
     found = ranked.join(F.broadcast(_slots(sources)), "src")
     found = found.withColumn("block", F.expr("(rank * tickets * periods) div n")).withColumn("run", F.expr("filter(runs, r -> block div tickets >= r.low and block div tickets < r.high)[0]"))

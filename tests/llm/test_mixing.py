@@ -75,6 +75,11 @@ def test_nulls_repeats_clashes_empty_and_limits(spark):
     many = mixing.mixed(docs.withColumnRenamed("rank", "mix_slot"), max_sources=2)
     assert many.columns == ["doc_id", "source", "mix_block", "mix_slot", "mix_place"]
     assert sorted({r.mix_slot for r in many.collect()}) == [0, 1, 2]
+    # weights far from the sizes, in windows: none given, null and clashing columns
+    targets = spark.createDataFrame([(None, 1e-3), ("z", 5.0), ("", None)], "source string, weight double")
+    exact = mixing.mixed(docs.withColumnRenamed("rank", "src"), targets, block_docs=1, resolution=2)
+    assert exact.columns == ["doc_id", "source", "src", "mix_block", "mix_slot", "mix_place"]
+    assert sorted(r.mix_slot for r in exact.collect()) == [0, 1, 2, 3, 4]
 
 
 def deviation(w, source, until):
@@ -101,6 +106,20 @@ def test_exact_weights_keep_every_source_within_a_block(case):
     assert deviation(w, source, int(w.sum() * (blocks / w).min())) < 1
 
 
+@pytest.mark.parametrize("number", [1, 2, 7, 20])
+@pytest.mark.parametrize("kind", ["roots", "any", "sizes", "few"])
+def test_windows_equal_one_run(spark, monkeypatch, number, kind):
+    """Every window by itself gives what one run over all slots gives."""
+    monkeypatch.setattr(mixing, "WINDOW", 48)
+    rng = random.Random(f"{number} {kind}")
+    blocks = [rng.choice([1, 3, 10, 90]) for _ in range(number)]
+    w = {"roots": np.sqrt(blocks), "any": [rng.random() + 1e-3 for _ in blocks], "sizes": blocks, "few": [rng.randint(1, 4) for _ in blocks]}[kind]
+    sources = spark.createDataFrame([(f"s{i:02}", b, float(x)) for i, (b, x) in enumerate(zip(blocks, w, strict=True))], "src string, blocks long, w double")
+    got = mixing._windows(sources, sum(blocks)).orderBy("slot").collect()
+    source, block = mixing._exact(np.array(w, float), np.array(blocks))
+    assert [tuple(r) for r in got] == [(f"s{i:02}", j, t) for t, (i, j) in enumerate(zip(source.tolist(), block.tolist(), strict=True))]
+
+
 def test_mix_follows_the_true_weights(spark):
     """Rounded to 200 tickets, the hot source would get a share of 0.024 and not 0.035."""
     sizes = {"hot": 1500} | {f"s{i:03}": 10 for i in range(300)}
