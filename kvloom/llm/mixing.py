@@ -138,7 +138,7 @@ def _on_driver(spark: SparkSession, names: list[str], w: list[float], blocks: li
 
 
 #: Slots that are worked out together.
-WINDOW = 4096
+WINDOW = 512
 
 
 def _let(name: str, value: str, body: str) -> str:
