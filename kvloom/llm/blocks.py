@@ -33,6 +33,11 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view("<i8")
 
 
+def packed_values(blob: bytes) -> int:
+    """How many longs a blob holds."""
+    return zstandard.frame_content_size(blob) // 8
+
+
 def pack_columns(*columns: np.ndarray) -> bytes:
     return pack(np.concatenate([np.ascontiguousarray(c).view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64) for c in columns]))
 
@@ -106,3 +111,4 @@ def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield tuple(c[i] for c in batch.columns)
+        pa.default_memory_pool().release_unused()  # workers stay, beside the JVM
