@@ -163,16 +163,30 @@ def linked(members: DataFrame, find: Callable) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def close(nodes: DataFrame, distance: int = 3, blocks: int = 6, chunk: int = 8192) -> DataFrame:
+    """Links (a, b) between fingerprints, of nodes (fp) without repeats: those of spanning forests within `distance` bits."""
+    masks = block_masks(64, blocks, distance)
+    keyed = nodes.select(F.col("fp").alias("node"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("t", "key"))
+    return linked(shared_files(keyed, chunk).withColumn("fp", F.col("node")), hamming(distance))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, blocks: int = 6, chunk: int = 8192) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
     nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("size")), "nodes")
-    masks = block_masks(64, blocks, distance)
-    keyed = nodes.select(F.col("fp").alias("node"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in masks])).alias("t", "key"))
-    members = shared_files(keyed, chunk).withColumn("fp", F.col("node"))
-    edges = linked(members, hamming(distance))
+    edges = close(nodes, distance, blocks, chunk)
     label = F.coalesce(F.col("label"), F.col("fp"))
     named = nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", "size", label.alias("label"))
     lows = named.groupBy("label").agg(F.min("low").alias("component_id"))
     of_fp = materialize(named.join(lows, "label").select("fp", "component_id", "size"), "named")
     return join_groups(fps, of_fp, ["fp"], "size", "inner").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def simhash_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, blocks: int = 6, chunk: int = 8192) -> DataFrame:
+    """x, y (x < y): rows whose components are those of simhash_groups, a spanning forest and never all pairs. Ids are different and not null."""
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("size")), "nodes")
+    same = join_groups(fps, nodes, ["fp"], "size", "inner").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    lows = nodes.select("fp", "low")
+    other = close(nodes, distance, blocks, chunk).join(lows.withColumnRenamed("fp", "a"), "a").withColumnRenamed("low", "x").join(lows.withColumnRenamed("fp", "b"), "b").select(F.col("x").alias("a"), F.col("low").alias("b"))
+    return same.unionByName(other).where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()

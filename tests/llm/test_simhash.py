@@ -8,7 +8,7 @@ import xxhash
 
 from kvloom.llm import simhash as sh
 from kvloom.llm.components import components
-from kvloom.llm.near_dedup import near_dedup
+from kvloom.llm.near_dedup import NearJoin, near_dedup
 
 
 def brute(rows, distance=3, size=3):
@@ -180,3 +180,30 @@ def test_near_dedup_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(2, "a b c d e f", "x", 5), (1, "a b c d e f", "y", 6)], "doc_id long, text string, uid string, home long")
     out = near_dedup(docs)
     assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "a b c d e f", "y", 6)]
+
+
+@pytest.mark.parametrize("chunk", [8192, 3])
+def test_pairs_span_the_components(make_docs, chunk):
+    rows = near_copies(random.Random(5), 8, 5) + [(1000, None), (1001, ""), (1002, "One two"), (1003, "one TWO")]
+    pairs = [(r.x, r.y) for r in sh.simhash_pairs(make_docs(rows).repartition(3), chunk=chunk).collect()]
+    group = {i: i for i, _ in rows}
+    for a, b in pairs:
+        group = {i: group[a] if g == group[b] else g for i, g in group.items()}
+    low = {g: min(i for i in group if group[i] == g) for g in group.values()}
+    assert {i: low[g] for i, g in group.items()} == {i: c for i, (_, c) in brute(rows).items()}
+    assert all(a < b for a, b in pairs) and len(pairs) < 2 * len(rows)
+
+
+def test_near_dedup_finds_by_fingerprints_and_decides_on_sets(make_docs, monkeypatch):
+    """Equal fingerprints with few shingles in common stay apart; near copies are linked by fingerprints alone where these are close."""
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    often = "a b c " * 500
+    far = [(1, often + words("x", 40)), (2, often + words("y", 40))]
+    near = [(10 + i, words("z", 300) + f" end{i}") for i in range(4)]
+    join = NearJoin(make_docs(far + near).repartition(1), "doc_id", "text", 5, 80, 2 << 20, 1 << 20)
+    ids = {r.uid: r.id for r in join.state.select("uid", "id").collect()}
+    pairs = {frozenset((ids[r.x], ids[r.y])) for r in join.close().collect()}
+    assert frozenset((1, 2)) in pairs and len(pairs) >= 4
+    assert {r.doc_id for r in near_dedup(make_docs(far + near)).collect()} == {1, 2, 10}
+    monkeypatch.setattr(NearJoin, "met", lambda self, files, *a, **k: files.select(files.uid.alias("x"), files.uid.alias("y")).limit(0))
+    assert {r.doc_id for r in near_dedup(make_docs(far + near)).collect()} == {1, 2, 10}
