@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 import xxhash
 
+from kvloom.llm import components as comp
 from kvloom.llm import simhash as sh
+from kvloom.llm.common import materialize
 from kvloom.llm.components import components
 from kvloom.llm.near_dedup import NearJoin, near_dedup
 
@@ -83,6 +85,17 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_settled_links_take_no_round(spark, monkeypatch):
+    """Stars around their smallest nodes are written once; a chain takes rounds, but none that only finds that nothing changes."""
+    written = []
+    monkeypatch.setattr(comp, "materialize", lambda df, tag: written.append(tag) or materialize(df, tag))
+    stars = [(1, 5), (1, 9), (7, 1), (2, 3), (4, 4)]
+    assert dict(components(spark.createDataFrame(stars, "a long, b long")).collect()) == {1: 1, 5: 1, 9: 1, 7: 1, 2: 2, 3: 2}
+    assert len(written) == 1
+    assert dict(components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).collect()) == {1: 1, 2: 1, 3: 1}
+    assert len(written) == 3
+
+
 def test_empty_and_string_ids(make_docs, spark):
     assert sh.simhash_groups(make_docs([])).count() == 0
     assert near_dedup(make_docs([])).count() == 0
